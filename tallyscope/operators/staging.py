@@ -270,6 +270,41 @@ def sent_concentration(transactions: DataFrame, *, as_of: str, days: int = 90) -
     return pairs.groupBy(KEY).agg(concentration(F.col("_n")).alias("counterparty_concentration"))
 
 
+def _pace_columns() -> list[Column]:
+    age = F.col("days_since_first_tx")
+    volume = F.col("total_value_sent_eth") + F.col("total_value_received_eth")
+    return [
+        safe_divide(F.col("tx_count"), age).alias("tx_frequency_per_day"),
+        safe_divide(F.col("active_days"), age).alias("activity_regularity"),
+        safe_divide(volume, F.col("active_days")).alias("value_velocity"),
+    ]
+
+
+def _share_columns() -> list[Column]:
+    calls = F.col("contract_call_count")
+    return [
+        safe_divide(F.col("dex_interaction_count"), calls).alias("dex_to_total_ratio"),
+        safe_divide(F.col("lending_interaction_count"), calls).alias("lending_to_total_ratio"),
+    ]
+
+
+def window_pace(staged: DataFrame) -> DataFrame:
+    """Transactions, active days and volume of staged accounts per day."""
+    return staged.select(KEY, *_pace_columns())
+
+
+def call_shares(staged: DataFrame) -> DataFrame:
+    """Shares of staged contract calls by category; NULL without calls."""
+    return staged.select(KEY, *_share_columns())
+
+
+def holds_code(accounts: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Whether each account is a known contract."""
+    known = contracts.where(F.col("address").isNotNull()).select(F.col("address").alias(KEY)).distinct()
+    flagged = accounts.join(known.withColumn("is_contract", F.lit(True)), KEY, "left")
+    return flagged.select(*accounts.columns, F.coalesce("is_contract", F.lit(False)).alias("is_contract"))
+
+
 def behavioural_features(
     transactions: DataFrame,
     transfers: DataFrame,
@@ -285,29 +320,22 @@ def behavioural_features(
     """Staging tables and derived features, one row per qualified account."""
     window = {"as_of": as_of, "days": days}
     base = stage_transactions(transactions, **window, min_tx=min_tx, min_eth=min_eth)
-    known = contracts.where(F.col("address").isNotNull()).select(F.col("address").alias(KEY)).distinct()
     joined = (
-        base.join(stage_token_activity(transfers, **window), KEY, "left")
+        holds_code(base, contracts)
+        .join(stage_token_activity(transfers, **window), KEY, "left")
         .join(stage_contract_calls(traces, **window, book=book), KEY, "left")
         .join(window_rhythm(transactions, **window), KEY, "left")
         .join(sent_concentration(transactions, **window), KEY, "left")
-        .join(known.withColumn("_code", F.lit(True)), KEY, "left")
     )
-    age = F.col("days_since_first_tx")
-    calls = F.col("contract_call_count")
-    volume = F.col("total_value_sent_eth") + F.col("total_value_received_eth")
     return joined.select(
         *base.columns,
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in TOKEN_COLUMNS + CALL_COLUMNS],
-        safe_divide(F.col("tx_count"), age).alias("tx_frequency_per_day"),
-        safe_divide(F.col("active_days"), age).alias("activity_regularity"),
+        *_pace_columns(),
         F.coalesce("hour_of_day_entropy", F.lit(0.0)).alias("hour_of_day_entropy"),
         "weekend_vs_weekday_ratio",
-        F.coalesce("_code", F.lit(False)).alias("is_contract"),
-        safe_divide(F.col("dex_interaction_count"), calls).alias("dex_to_total_ratio"),
-        safe_divide(F.col("lending_interaction_count"), calls).alias("lending_to_total_ratio"),
+        "is_contract",
+        *_share_columns(),
         F.coalesce("counterparty_concentration", F.lit(0.0)).alias("counterparty_concentration"),
-        safe_divide(volume, F.col("active_days")).alias("value_velocity"),
         F.coalesce("burst_score", F.lit(1.0)).alias("burst_score"),
     )
 

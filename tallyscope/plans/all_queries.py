@@ -1,6 +1,6 @@
 """Imports every query module, which fills the catalogue."""
 
-from tallyscope.plans import ledger_queries  # noqa: F401
+from tallyscope.plans import feature_queries, ledger_queries  # noqa: F401
 from tallyscope.plans.catalogue import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
