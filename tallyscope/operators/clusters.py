@@ -91,7 +91,7 @@ def fit_clusters(points: DataFrame, k: int, *, components: int = 2, seed: int =
         PCA(k=components, inputCol="_ml", outputCol="_pc"),
         KMeans(k=k, seed=seed, featuresCol="_pc", predictionCol="cluster"),
     ]
-    return Pipeline(stages=stages).fit(_ml(points))
+    return Pipeline(stages=stages).fit(_ml(points.drop("cluster")))
 
 
 def apply_clusters(model, points: DataFrame) -> DataFrame:
@@ -106,12 +106,13 @@ def assign_nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
         F.collect_list(F.struct("cluster", F.col("centroid").alias("c"))).alias("centroids")
     )
     gaps = F.transform(
-        listed.scalar(),
+        "_centroids",
         lambda x: F.struct(
             F.sqrt(squared_distance(F.col("vector"), x["c"])).alias("distance"), x["cluster"].alias("cluster")
         ),
     )
-    return points.withColumn("_best", F.array_min(gaps)).select(
+    listed_beside = points.withColumn("_centroids", listed.scalar())
+    return listed_beside.withColumn("_best", F.array_min(gaps)).select(
         *[c for c in points.columns if c != "cluster"],
         F.col("_best.cluster").alias("cluster"),
         F.col("_best.distance").alias("distance"),
@@ -141,8 +142,9 @@ def density_clusters(
     order = kept.agg(
         F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), "_first", "_root"))).alias("l")
     )
-    roots = F.transform(order.scalar(), lambda c: c["_root"])
-    numbered = component.withColumn("_at", F.array_position(roots, F.col("_root"))).select(
+    roots = F.transform("_clusters", lambda c: c["_root"])
+    listed = component.withColumn("_clusters", order.scalar())
+    numbered = listed.withColumn("_at", F.array_position(roots, F.col("_root"))).select(
         "_x", "_y", F.when(F.col("_at") > 0, F.col("_at") - 1).cast("int").alias("cluster")
     )
     joined = placed.drop("cluster").join(numbered, ["_x", "_y"], "left")
@@ -237,7 +239,9 @@ def silhouettes(points: DataFrame, key: str = KEY, block_rows: int = 2000) -> Da
     block = F.pmod(F.xxhash64(key), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = members.select("*", block.alias("_i"), every.alias("_j"))
-    right = members.select("vector", "cluster", block.alias("_j"), every.alias("_i"))
+    right = members.select(
+        F.col("vector").alias("_vector"), F.col("cluster").alias("_cluster"), block.alias("_rj"), every.alias("_ri")
+    )
     key_type = members.schema[key].dataType.simpleString()
 
     def sums(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -245,11 +249,11 @@ def silhouettes(points: DataFrame, key: str = KEY, block_rows: int = 2000) -> Da
         if mine.empty or other.empty:
             return pd.DataFrame({c: [] for c in columns})
         a = np.stack(mine["vector"].to_numpy()).astype(float)
-        b = np.stack(other["vector"].to_numpy()).astype(float)
+        b = np.stack(other["_vector"].to_numpy()).astype(float)
         squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
         gaps = np.sqrt(np.maximum(squares, 0.0))
         parts = []
-        labels = other["cluster"].to_numpy()
+        labels = other["_cluster"].to_numpy()
         for c in np.unique(labels):
             parts.append(
                 pd.DataFrame(
@@ -265,7 +269,7 @@ def silhouettes(points: DataFrame, key: str = KEY, block_rows: int = 2000) -> Da
 
     partial = (
         left.groupBy("_i", "_j")
-        .cogroup(right.groupBy("_i", "_j"))
+        .cogroup(right.groupBy("_ri", "_rj"))
         .applyInPandas(sums, f"{key} {key_type}, cluster int, other int, total double")
     )
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -302,7 +306,7 @@ def fast_silhouettes(points: DataFrame, dims: int, key: str = KEY) -> DataFrame:
     listed = stats.agg(F.collect_list(F.struct("cluster", "n", "c", "q")).alias("l")).scalar()
     square = dot(F.col("vector"), F.col("vector"))
     gaps = F.transform(
-        listed,
+        "_stats",
         lambda s: F.struct(
             s["cluster"].alias("cluster"),
             s["n"].alias("n"),
@@ -312,7 +316,8 @@ def fast_silhouettes(points: DataFrame, dims: int, key: str = KEY) -> DataFrame:
     own = F.filter("_g", lambda g: g["cluster"] == F.col("cluster"))[0]
     a = F.try_divide(own["d"] * own["n"], (own["n"] - 1).cast("double"))
     b = F.array_min(F.transform(F.filter("_g", lambda g: g["cluster"] != F.col("cluster")), lambda g: g["d"]))
-    return members.withColumn("_g", gaps).select(key, "cluster", _silhouette(own["n"], a, b))
+    compared = members.withColumn("_stats", listed).withColumn("_g", gaps)
+    return compared.select(key, "cluster", _silhouette(own["n"], a, b))
 
 
 def calinski_harabasz(points: DataFrame, dims: int) -> DataFrame:
@@ -453,6 +458,8 @@ def profile_matrix(profile: DataFrame, features: list[str], cap: float = 5.0) ->
 
 def silhouette_report(scores: DataFrame) -> DataFrame:
     """Mean, median, deviation, range, size and negatives per cluster."""
+    # Read several times below, and dear to compute.
+    scores = settle(scores)
     s = F.col("silhouette")
     stats = scores.groupBy("cluster").agg(
         F.avg(s).alias("mean"),

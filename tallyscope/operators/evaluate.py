@@ -184,7 +184,7 @@ def drift_report(
           for w in (0, 1) for x in ("n", "s")]
     )
     w = Window.partitionBy("feature")
-    share = {i: F.greatest(F.col(f"n{i}") / F.sum(f"n{i}").over(w), F.lit(floor)) for i in (0, 1)}
+    share = {i: F.greatest(_ratio(F.col(f"n{i}"), F.sum(f"n{i}").over(w)), F.lit(floor)) for i in (0, 1)}
     scored = wide.withColumn("_t", (share[1] - share[0]) * F.ln(share[1] / share[0]))
     psi = F.sum("_t")
     return scored.groupBy("feature").agg(

@@ -66,7 +66,10 @@ def rhythm_features(ledger: DataFrame) -> DataFrame:
     weekday = F.sum(F.when(F.weekday("_day") < 5, F.col("_n")).otherwise(0))
     priced = F.when(F.col("_gas_n") > 0, F.col("_n").cast("double"))
     price = F.try_divide(F.col("_gas"), F.col("_gas_n"))
-    gas = F.corr(priced, price)
+    # Written out, since ``corr`` fails on a constant column in ANSI mode.
+    paired = F.when(price.isNotNull(), priced)
+    spread = F.stddev_pop(paired) * F.stddev_pop(price)
+    gas = F.when(spread > 0, F.try_divide(F.covar_pop(paired, price), spread))
     return days.groupBy(KEY).agg(
         F.when(span == 0, total).otherwise(F.try_divide(total, span)).alias("tx_frequency_per_day"),
         F.when(F.count("_day") > 1, F.stddev_samp("_n")).otherwise(0.0).alias("activity_regularity"),
@@ -74,7 +77,7 @@ def rhythm_features(ledger: DataFrame) -> DataFrame:
         F.when(weekday == 0, weekend.cast("double"))
         .otherwise(F.try_divide(weekend.cast("double"), weekday.cast("double")))
         .alias("weekend_vs_weekday_ratio"),
-        F.when(F.count(priced) >= 3, F.coalesce(F.nanvl(gas, F.lit(0.0)), F.lit(0.0)))
+        F.when(F.count(paired) >= 3, F.coalesce(F.nanvl(gas, F.lit(0.0)), F.lit(0.0)))
         .otherwise(0.0)
         .alias("gas_price_sensitivity"),
         F.max(F.coalesce(F.col("_data"), F.lit(False))).cast("double").alias("is_contract"),

@@ -151,7 +151,7 @@ def with_views(names: str, body: str) -> str:
         need(name)
     body = body.strip()
     if not ordered:
-        return body if body.upper().startswith("SELECT") else f"WITH {body}"
+        return body if body.upper().startswith(("SELECT", "WITH")) else f"WITH {body}"
     text = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
     glue = "\n" if body.upper().startswith("SELECT") else ",\n"
     return f"WITH {text}{glue}{body}"

@@ -71,7 +71,7 @@ def _(v: Views):
     return clusters.apply_clusters(clusters.fit_clusters(known, 6), new).select(ID, "cluster")
 
 
-EPS, MIN_SAMPLES, MIN_SIZE = 0.02, 3, 5
+EPS, MIN_SAMPLES, MIN_SIZE = 0.04, 4, 8
 
 
 @query(
