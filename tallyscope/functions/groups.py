@@ -30,41 +30,56 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def _match(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int) -> DataFrame:
-    """Join against a set of keys, by broadcast or by key and salt.
+def _join_small_or_salted(
+    df: DataFrame, side: DataFrame, on: str, how: str, limit: int
+) -> DataFrame:
+    """Join rows to a side with one row per key, by broadcast or by key and salt.
 
-    A key set of a checked size is broadcast. A larger one is joined by key and
-    salt, so that the rows of a hot key spread over ``SALTS`` tasks.
+    A side of a checked size is broadcast. A larger one is joined by key and
+    salt, so that the rows of a hot key spread over ``SALTS`` tasks. The size
+    check reads ``side`` once more, so it should be a stored table.
     """
-    keys = keys.select(F.col(keys.columns[0]).alias(on)).where(F.col(on).isNotNull()).distinct()
-    if how == "left":
-        keys = keys.withColumn("_found", F.lit(True))
-    if is_small(keys, limit):
-        return df.join(F.broadcast(keys), on, how)
+    side = side.where(F.col(on).isNotNull())
+    if is_small(side, limit):
+        return df.join(F.broadcast(side), on, how)
     others = [F.col(f"`{c}`") for c in df.columns if c != on] or [F.col(on)]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, [on, "_salt"], how).drop("_salt")
 
 
+def _key_set(keys: DataFrame, on: str) -> DataFrame:
+    return keys.select(F.col(keys.columns[0]).alias(on)).distinct()
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` occurs in the one-column frame ``keys``."""
-    return _match(df, keys, on, "left_semi", limit).select(*df.columns)
+    kept = _join_small_or_salted(df, _key_set(keys, on), on, "left_semi", limit)
+    return kept.select(*df.columns)
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: str, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` does not occur in ``keys``."""
-    return _match(df, keys, on, "left_anti", limit).select(*df.columns)
+    kept = _join_small_or_salted(df, _key_set(keys, on), on, "left_anti", limit)
+    return kept.select(*df.columns)
 
 
 def flag_keys(
     df: DataFrame, keys: DataFrame, on: str, flag: str, *, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Add a column that tells whether ``on`` occurs in ``keys``."""
-    matched = _match(df, keys, on, "left", limit)
+    side = _key_set(keys, on).withColumn("_found", F.lit(True))
+    matched = _join_small_or_salted(df, side, on, "left", limit)
     return matched.select(*df.columns, F.coalesce("_found", F.lit(False)).alias(flag))
 
 
+def attach(df: DataFrame, side: DataFrame, on: str, *, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Add the columns of ``side`` (one row per ``on``); NULL where it has none."""
+    added = [c for c in side.columns if c != on]
+    matched = _join_small_or_salted(df, side, on, "left", limit)
+    return matched.select(*df.columns, *added)
+
+
 def both_sides(df: DataFrame, *, once: bool = False, key: str = "wallet_address") -> DataFrame:
     """One row per row and participating account, in one pass over ``df``.
 
@@ -146,16 +161,13 @@ def group_position(
     For few groups (labels, clusters): the group table is joined by its size.
     """
     placed = global_position(df, F.col(by).asc_nulls_first(), *order, name="_all")
-    groups = placed.groupBy(by).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias(size))
-    if is_small(groups):
-        groups = F.broadcast(groups)
-    left, right = placed.alias("p"), groups.alias("g")
-    joined = left.join(right, F.col(f"p.{by}").eqNullSafe(F.col(f"g.{by}")))
-    return joined.select(
-        *[F.col(f"p.{c}") for c in df.columns],
-        (F.col("_all") - F.col("_first") + 1).alias(name),
-        F.col(size),
+    # A missing group is a group of its own, so the join key must not be NULL.
+    placed = placed.withColumn(
+        "_group", F.concat(F.col(by).isNull().cast("string"), F.coalesce(F.col(by).cast("string"), F.lit("")))
     )
+    groups = placed.groupBy("_group").agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias(size))
+    joined = attach(placed, groups, "_group")
+    return joined.select(*df.columns, (F.col("_all") - F.col("_first") + 1).alias(name), size)
 
 
 def tile(position: Column, total: Column, tiles: int) -> Column:
@@ -180,9 +192,11 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
     accuracy = 10_000
     slack = 3.0 / accuracy
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    ends = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"),
+    ends = settle(
+        rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"),
+        )
     )
     if by:
         paired = rows.join(F.broadcast(ends) if is_small(ends) else ends, list(by))

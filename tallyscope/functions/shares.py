@@ -15,13 +15,7 @@ def entropy_from_sums(total: Column, c_log_c: Column, log_total: Column) -> Colu
     return F.greatest(log_total - c_log_c / total, F.lit(0.0))
 
 
-def entropy(count: Column, base2: bool = False) -> Column:
-    log = F.log2 if base2 else F.ln
-    c = count.cast("double")
-    return entropy_from_sums(F.sum(c), F.sum(c * log(c)), log(F.sum(c)))
-
-
 def concentration(count: Column) -> Column:
     """Herfindahl index: sum of squared shares."""
     c = count.cast("double")
-    return F.sum(c * c) / (F.sum(c) * F.sum(c))
+    return F.try_divide(F.sum(c * c), F.sum(c) * F.sum(c))

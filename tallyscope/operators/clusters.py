@@ -19,8 +19,9 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import exact_median, one_row, top_k
+from tallyscope.functions.groups import attach, exact_median, one_row, top_k
 from tallyscope.functions.scalars import dot, norm, ratio_band, ratio_direction, squared_distance
 from tallyscope.operators.features import standardise
 from tallyscope.operators.splits import subsample
@@ -147,8 +148,10 @@ def density_clusters(
     numbered = listed.withColumn("_at", F.array_position(roots, F.col("_root"))).select(
         "_x", "_y", F.when(F.col("_at") > 0, F.col("_at") - 1).cast("int").alias("cluster")
     )
-    joined = placed.drop("cluster").join(numbered, ["_x", "_y"], "left")
-    return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))).drop("_x", "_y")
+    cell = F.concat_ws(":", "_x", "_y")
+    side = settle(numbered.select(cell.alias("_cell"), "cluster"))
+    joined = attach(placed.drop("cluster").withColumn("_cell", cell), side, "_cell")
+    return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))).drop("_x", "_y", "_cell")
 
 
 def _connected_cells(dense: DataFrame) -> DataFrame:
@@ -321,17 +324,35 @@ def fast_silhouettes(points: DataFrame, dims: int, key: str = KEY) -> DataFrame:
 
 
 def calinski_harabasz(points: DataFrame, dims: int) -> DataFrame:
-    """Between-cluster over within-cluster spread; NaN below two clusters."""
+    """Between-cluster over within-cluster spread; NaN below two clusters.
+
+    One pass over the points: the spread within a cluster is its size times
+    the sum of its variances. The rest works on one row per cluster and
+    dimension.
+    """
     members = points.where(F.col("cluster") != NOISE)
-    middle = members.agg(_mean_vector(dims).alias("m")).scalar()
-    own = _centroid_map(members, dims)[F.col("cluster")]["centroid"]
-    measured = members.withColumn("_c", own).withColumn("_m", middle)
-    # Each member adds its centroid's distance to the middle, so sizes weigh in.
-    totals = measured.agg(
-        F.sum(squared_distance(F.col("_c"), F.col("_m"))).alias("b"),
-        F.sum(squared_distance(F.col("vector"), F.col("_c"))).alias("w"),
+    stats = members.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct("cluster").alias("k"),
+        F.array(
+            *[
+                F.struct(F.avg(F.col("vector")[i]).alias("c"), F.var_pop(F.col("vector")[i]).alias("v"))
+                for i in range(dims)
+            ]
+        ).alias("_d"),
+    )
+    per = stats.select("cluster", "n", F.posexplode("_d").alias("d", "s")).select("cluster", "n", "d", "s.*")
+    w = Window.partitionBy("d")
+    middle = F.sum(F.col("n") * F.col("c")).over(w) / F.sum("n").over(w)
+    totals = (
+        per.withColumn("_gap", F.col("c") - middle)
+        .groupBy("d")
+        .agg(
+            F.sum(F.col("n") * F.col("_gap") * F.col("_gap")).alias("b"),
+            F.sum(F.col("n") * F.col("v")).alias("w"),
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("k"),
+        )
+        .agg(F.sum("b").alias("b"), F.sum("w").alias("w"), F.max("n").alias("n"), F.max("k").alias("k"))
     )
     n, k = F.col("n"), F.col("k")
     ratio = F.when(F.col("w") == 0, 1.0).otherwise(
@@ -346,20 +367,16 @@ def calinski_harabasz(points: DataFrame, dims: int) -> DataFrame:
 def cluster_sizes(points: DataFrame) -> DataFrame:
     """Size and share of each cluster, with the count of clusters and noise share."""
     sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    totals = one_row(
-        sizes.agg(
-            F.sum("size").alias("all"),
-            F.count(F.when(F.col("cluster") != NOISE, 1)).alias("clusters"),
-            F.coalesce(F.sum(F.when(F.col("cluster") == NOISE, F.col("size"))), F.lit(0)).alias("noise"),
-        )
-    )
-    t = F.col("_t")
-    return sizes.withColumn("_t", totals).select(
+    # One row per cluster meets in this window.
+    w = Window.partitionBy(F.lit(0))
+    total = F.sum("size").over(w)
+    noise = F.coalesce(F.sum(F.when(F.col("cluster") == NOISE, F.col("size"))).over(w), F.lit(0))
+    return sizes.select(
         "cluster",
         "size",
-        (F.col("size") * 100.0 / t["all"]).alias("pct"),
-        t["clusters"].alias("n_clusters"),
-        (t["noise"] / t["all"]).alias("noise_ratio"),
+        (F.col("size") * 100.0 / total).alias("pct"),
+        F.count(F.when(F.col("cluster") != NOISE, 1)).over(w).alias("n_clusters"),
+        (noise / total).alias("noise_ratio"),
     )
 
 
@@ -396,45 +413,49 @@ def stability(
 def profiles(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean, deviation, ratio to global and z-score per cluster and feature.
 
-    One aggregate row per cluster is turned into one row per feature.
+    One pass over ``df`` gives one row per cluster; the global mean and
+    deviation are merged from the clusters' counts, means and variances.
     """
     per = df.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
+        *[F.count(c).alias(f"{c}|n") for c in features],
         *[F.avg(c).alias(f"{c}|m") for c in features],
-        *[F.stddev_samp(c).alias(f"{c}|s") for c in features],
+        *[F.var_pop(c).alias(f"{c}|v") for c in features],
     )
-    overall = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.avg(c).alias(f"{c}|m") for c in features],
-        *[F.stddev_samp(c).alias(f"{c}|s") for c in features],
-    )
-    with_all = per.withColumn("_g", one_row(overall))
     items = F.array(
         *[
             F.struct(
                 F.lit(c).alias("feature"),
+                F.col(f"`{c}|n`").alias("_n"),
                 F.col(f"`{c}|m`").alias("mean"),
-                F.col(f"`{c}|s`").alias("std"),
-                F.col("_g")[f"{c}|m"].alias("global_mean"),
-                F.col("_g")[f"{c}|s"].alias("_global_std"),
+                F.col(f"`{c}|v`").alias("_v"),
             )
             for c in features
         ]
     )
-    rows = with_all.select(
-        "cluster", "size", (F.col("size") * 100.0 / F.col("_g.rows")).alias("pct"), F.explode(items).alias("_i")
-    ).select("cluster", "size", "pct", "_i.*")
-    g, s = F.col("global_mean"), F.col("_global_std")
-    return rows.select(
+    rows = per.select("cluster", "size", F.explode(items).alias("_i")).select("cluster", "size", "_i.*")
+    n, m, v = F.col("_n"), F.col("mean"), F.col("_v")
+    w = Window.partitionBy("feature")
+    merged = (
+        rows.withColumn("global_mean", F.try_divide(F.sum(n * m).over(w), F.sum(n).over(w)))
+        .withColumn("_off", F.col("mean") - F.col("global_mean"))
+        .withColumn("_all", F.sum("_n").over(w))
+        .withColumn("_square", F.sum(n * v + n * F.col("_off") * F.col("_off")).over(w))
+        .withColumn("_rows", F.sum("size").over(w))
+    )
+    g = F.col("global_mean")
+    s = F.sqrt(F.try_divide(F.col("_square"), F.col("_all") - 1))
+    std = F.when(n > 1, F.sqrt(F.try_divide(n * v, n - 1)))
+    return merged.select(
         "cluster",
         "feature",
         "mean",
-        "std",
+        std.alias("std"),
         "global_mean",
-        F.when(g == 0, 0.0).otherwise(F.try_divide(F.col("mean"), g)).alias("ratio_to_global"),
-        F.when(s == 0, 0.0).otherwise(F.try_divide(F.col("mean") - g, s)).alias("z_score"),
+        F.when(g == 0, 0.0).otherwise(F.try_divide(m, g)).alias("ratio_to_global"),
+        F.when(s == 0, 0.0).otherwise(F.try_divide(F.col("_off"), s)).alias("z_score"),
         "size",
-        "pct",
+        (F.col("size") * 100.0 / F.col("_rows")).alias("pct"),
     ).withColumn("band", ratio_band(F.col("ratio_to_global")))
 
 

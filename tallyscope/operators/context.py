@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyscope.functions.groups import both_sides, top_k
 from tallyscope.functions.scalars import count_where
@@ -71,10 +72,12 @@ def token_counts(transfers: DataFrame) -> DataFrame:
 
 def token_activity(transfers: DataFrame, limit: int = 10) -> DataFrame:
     """Distinct tokens per account, and its most transferred tokens by rank."""
-    counted = token_counts(transfers)
-    unique = counted.groupBy(KEY).agg(F.count("token_address").alias("unique_tokens"))
+    # The window holds an account's distinct tokens, not its transfers.
+    counted = token_counts(transfers).withColumn(
+        "unique_tokens", F.count("token_address").over(Window.partitionBy(KEY))
+    )
     best = top_k(counted, [KEY], [F.desc("transfer_count"), F.asc("token_address")], limit)
-    return best.join(unique, KEY).select(
+    return best.select(
         KEY, "unique_tokens", "rank", "token_address", "transfer_count", "erc20_count", "erc721_count"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.groups import both_sides, flag_keys, keep_keys
+from tallyscope.functions.groups import attach, both_sides, flag_keys, keep_keys
 from tallyscope.functions.scalars import in_window, method_id, wei_to_eth
 from tallyscope.schemas import KEY
 
@@ -47,7 +47,7 @@ def project_token_transfers(
     return (
         touching(recent, accounts)
         .withColumnRenamed("value", "raw_value")
-        .join(flags, "token_address", "left")
+        .transform(attach, flags, "token_address")
         .select(
             "transaction_hash",
             "block_timestamp",
@@ -71,7 +71,7 @@ def project_contract_calls(
     flags = contracts.select(F.col("address").alias("to_address"), "is_erc20", "is_erc721")
     return (
         touching(calls, accounts)
-        .join(flags, "to_address", "left")
+        .transform(attach, flags, "to_address")
         .select(
             "transaction_hash",
             "block_timestamp",

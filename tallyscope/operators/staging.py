@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyscope.functions.groups import both_sides, global_position, tile, top_k
 from tallyscope.functions.scalars import count_where, in_window, safe_divide
 from tallyscope.functions.shares import concentration, entropy_from_sums
-from tallyscope.operators.features import by_day, hour_entropy, standardise
+from tallyscope.operators.features import hour_entropy, standardise
 from tallyscope.schemas import KEY, addresses
+from tallyscope.session import settle
 
 
 def account_totals(transactions: DataFrame) -> DataFrame:
@@ -79,93 +80,146 @@ def median_value(transactions: DataFrame) -> DataFrame:
     )
 
 
-def stage_transactions(
-    transactions: DataFrame,
-    *,
-    as_of: str,
-    days: int = 90,
-    min_tx: int = 10,
-    min_eth: float = 1.0,
-) -> DataFrame:
-    """Transaction statistics per account over the window, successful only.
+HOURS = range(24)
 
-    Distinct days and counterparties come from pre-aggregated pairs instead of
-    distinct aggregates, which would multiply the ledger rows.
+
+def _account_days(transactions: DataFrame) -> DataFrame:
+    """Both directions of each account by day, with the day's hourly shape.
+
+    One pass over the ledger and two shrinking aggregates, by (account, day,
+    hour) and by (account, day); totals and rhythm both come from it.
     """
-    good = _recent_success(transactions, as_of, days, "receipt_status")
-    sides = _directed(good, "block_timestamp", "value_eth", "gas_price", "receipt_gas_used")
+    sides = _directed(transactions, "block_timestamp", "value_eth", "gas_price", "receipt_gas_used")
     sent = F.col("_sent")
     ts = F.col("block_timestamp")
-    cost = F.col("receipt_gas_used").cast("double") * F.col("gas_price").cast("double") / F.lit(1e18)
-    daily = sides.groupBy(KEY, "_sent", F.to_date(ts).alias("_day")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("value_eth").alias("_value"),
+    price = F.col("gas_price").cast("double")
+    cost = F.col("receipt_gas_used").cast("double") * price / F.lit(1e18)
+
+    def if_sent(value: Column) -> Column:
+        return F.when(sent, value)
+
+    hourly = sides.groupBy(KEY, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(
+        count_where(sent).alias("_sent_n"),
+        count_where(~sent).alias("_got_n"),
+        F.sum(if_sent(F.col("value_eth"))).alias("_sent_value"),
+        F.sum(F.when(~sent, F.col("value_eth"))).alias("_got_value"),
+        F.sum(if_sent(cost)).alias("_cost"),
+        F.sum(if_sent(price)).alias("_price"),
+        F.count(if_sent(price)).alias("_price_n"),
         F.min(ts).alias("_from"),
         F.max(ts).alias("_to"),
-        F.sum(cost).alias("_cost"),
-        F.sum(F.col("gas_price").cast("double")).alias("_price"),
-        F.count("gas_price").alias("_price_n"),
+    )
+    n = F.col("_sent_n") + F.col("_got_n")
+    summed = ["_sent_n", "_got_n", "_sent_value", "_got_value", "_cost", "_price", "_price_n"]
+    return hourly.groupBy(KEY, "_day").agg(
+        *[F.sum(c).alias(c) for c in summed],
+        F.min("_from").alias("_from"),
+        F.max("_to").alias("_to"),
+        F.max(n).alias("_busiest"),
+        F.count(F.lit(1)).alias("_hours"),
+        *[F.sum(F.when(F.col("_hour") == h, n)).alias(f"_h{h}") for h in HOURS],
     )
 
-    def summed(column: str, direction: Column, zero) -> Column:
-        return F.coalesce(F.sum(F.when(direction, F.col(column))), F.lit(zero))
 
-    active_days = F.greatest(count_where(sent), count_where(~sent))
+def _total_columns(as_of: str) -> list[Column]:
+    def total(column: str, zero: float) -> Column:
+        return F.coalesce(F.sum(column), F.lit(zero))
+
+    count = F.sum("_sent_n") + F.sum("_got_n")
+    volume = total("_sent_value", 0.0) + total("_got_value", 0.0)
     first = F.min("_from")
     age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(first)
-    totals = daily.groupBy(KEY).agg(
-        F.sum("_n").alias("tx_count"),
-        summed("_n", sent, 0).alias("tx_count_sent"),
-        summed("_n", ~sent, 0).alias("tx_count_received"),
-        summed("_value", sent, 0.0).alias("total_value_sent_eth"),
-        summed("_value", ~sent, 0.0).alias("total_value_received_eth"),
-        safe_divide(F.coalesce(F.sum("_value"), F.lit(0.0)), F.sum("_n")).alias("avg_value_per_tx"),
+    active = F.greatest(count_where(F.col("_sent_n") > 0), count_where(F.col("_got_n") > 0))
+    gas = F.try_divide(F.sum("_price"), F.sum("_price_n"))
+    return [
+        count.alias("tx_count"),
+        F.sum("_sent_n").alias("tx_count_sent"),
+        F.sum("_got_n").alias("tx_count_received"),
+        total("_sent_value", 0.0).alias("total_value_sent_eth"),
+        total("_got_value", 0.0).alias("total_value_received_eth"),
+        safe_divide(volume, count).alias("avg_value_per_tx"),
         first.alias("first_tx_timestamp"),
         F.max("_to").alias("last_tx_timestamp"),
-        active_days.alias("active_days"),
+        active.alias("active_days"),
         F.floor(age / F.lit(86_400_000_000)).cast("long").alias("days_since_first_tx"),
-        F.coalesce(
-            F.try_divide(
-                F.sum(F.when(sent, F.col("_price"))), F.sum(F.when(sent, F.col("_price_n")))
-            ),
-            F.lit(0.0),
-        ).alias("avg_gas_price"),
-        summed("_cost", sent, 0.0).alias("total_gas_spent_eth"),
-    )
-    partners = (
-        sides.where(F.col("_other").isNotNull())
-        .select(KEY, "_sent", "_other")
-        .distinct()
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("unique_counterparties"))
-    )
-    kept = totals.where(
-        (F.col("tx_count") >= min_tx)
-        & (F.col("total_value_sent_eth") + F.col("total_value_received_eth") >= min_eth)
+        F.coalesce(gas, F.lit(0.0)).alias("avg_gas_price"),
+        total("_cost", 0.0).alias("total_gas_spent_eth"),
+    ]
+
+
+def _rhythm_columns() -> list[Column]:
+    n = F.col("_sent_n") + F.col("_got_n")
+    total = F.sum(n).cast("double")
+    weekend = F.sum(F.when(F.weekday("_day") >= 5, n).otherwise(0))
+    return [
+        hour_entropy(total, base2=False).alias("hour_of_day_entropy"),
+        safe_divide(weekend, F.sum(n) - weekend).alias("weekend_vs_weekday_ratio"),
+        (F.max("_busiest") * F.sum("_hours") / total).alias("burst_score"),
+    ]
+
+
+def _partners(transactions: DataFrame) -> DataFrame:
+    """Counterparties per account, and the concentration of those it sent to."""
+    pairs = (
+        _directed(transactions)
+        .where(F.col("_other").isNotNull())
+        .groupBy(KEY, "_sent", "_other")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return (
-        kept.join(partners, KEY, "left")
-        .join(median_value(good), KEY, "left")
-        .select(
-            KEY,
-            "tx_count",
-            "tx_count_sent",
-            "tx_count_received",
-            "total_value_sent_eth",
-            "total_value_received_eth",
-            "avg_value_per_tx",
-            "first_tx_timestamp",
-            "last_tx_timestamp",
-            "active_days",
-            "days_since_first_tx",
-            F.coalesce("unique_counterparties", F.lit(0)).alias("unique_counterparties"),
-            "avg_gas_price",
-            "total_gas_spent_eth",
-            "median_value_per_tx",
-        )
+    return pairs.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("unique_counterparties"),
+        concentration(F.when(F.col("_sent"), F.col("_n"))).alias("counterparty_concentration"),
     )
 
 
+def _qualified(totals: DataFrame, min_tx: int, min_eth: float) -> DataFrame:
+    volume = F.col("total_value_sent_eth") + F.col("total_value_received_eth")
+    return totals.where((F.col("tx_count") >= min_tx) & (volume >= min_eth))
+
+
+STAGED_COLUMNS = [
+    KEY,
+    "tx_count",
+    "tx_count_sent",
+    "tx_count_received",
+    "total_value_sent_eth",
+    "total_value_received_eth",
+    "avg_value_per_tx",
+    "first_tx_timestamp",
+    "last_tx_timestamp",
+    "active_days",
+    "days_since_first_tx",
+    "unique_counterparties",
+    "avg_gas_price",
+    "total_gas_spent_eth",
+    "median_value_per_tx",
+]
+
+
+def _with_partners(totals: DataFrame, transactions: DataFrame) -> DataFrame:
+    joined = totals.join(_partners(transactions), KEY, "left").join(median_value(transactions), KEY, "left")
+    return joined.withColumn("unique_counterparties", F.coalesce("unique_counterparties", F.lit(0)))
+
+
+def stage_transactions(
+    transactions: DataFrame,
+    *,
+    as_of: str,
+    days: int = 90,
+    min_tx: int = 10,
+    min_eth: float = 1.0,
+) -> DataFrame:
+    """Transaction statistics per account over the window, successful only.
+
+    Distinct days and counterparties come from pre-aggregated pairs instead of
+    distinct aggregates, which would multiply the ledger rows.
+    """
+    good = _recent_success(transactions, as_of, days, "receipt_status")
+    totals = _account_days(good).groupBy(KEY).agg(*_total_columns(as_of))
+    kept = _qualified(totals, min_tx, min_eth)
+    return _with_partners(kept, good).select(*STAGED_COLUMNS)
+
+
 def stage_token_activity(transfers: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
     """Token variety per account.
 
@@ -249,25 +303,14 @@ CALL_COLUMNS = [
 def window_rhythm(transactions: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
     """Natural-log hour entropy, weekend ratio and bursts over both directions."""
     good = _recent_success(transactions, as_of, days, "receipt_status")
-    daily = by_day(_directed(good, "block_timestamp"))
-    total = F.sum("_n").cast("double")
-    weekend = F.sum(F.when(F.weekday("_day") >= 5, F.col("_n")).otherwise(0))
-    return daily.groupBy(KEY).agg(
-        hour_entropy(total, base2=False).alias("hour_of_day_entropy"),
-        safe_divide(weekend, F.sum("_n") - weekend).alias("weekend_vs_weekday_ratio"),
-        (F.max("_busiest") * F.sum("_hours") / total).alias("burst_score"),
-    )
+    return _account_days(good).groupBy(KEY).agg(*_rhythm_columns())
 
 
 def sent_concentration(transactions: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
     """Herfindahl index of the receivers of an account's sent transactions."""
     good = _recent_success(transactions, as_of, days, "receipt_status")
-    pairs = (
-        good.where(F.col("from_address").isNotNull() & F.col("to_address").isNotNull())
-        .groupBy(F.col("from_address").alias(KEY), "to_address")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return pairs.groupBy(KEY).agg(concentration(F.col("_n")).alias("counterparty_concentration"))
+    index = _partners(good).select(KEY, "counterparty_concentration")
+    return index.where(F.col("counterparty_concentration").isNotNull())
 
 
 def _pace_columns() -> list[Column]:
@@ -319,16 +362,17 @@ def behavioural_features(
 ) -> DataFrame:
     """Staging tables and derived features, one row per qualified account."""
     window = {"as_of": as_of, "days": days}
-    base = stage_transactions(transactions, **window, min_tx=min_tx, min_eth=min_eth)
+    good = _recent_success(transactions, as_of, days, "receipt_status")
+    # Totals and rhythm share one pass, counterparties and concentration another.
+    both = _account_days(good).groupBy(KEY).agg(*_total_columns(as_of), *_rhythm_columns())
+    base = _with_partners(_qualified(both, min_tx, min_eth), good)
     joined = (
         holds_code(base, contracts)
         .join(stage_token_activity(transfers, **window), KEY, "left")
         .join(stage_contract_calls(traces, **window, book=book), KEY, "left")
-        .join(window_rhythm(transactions, **window), KEY, "left")
-        .join(sent_concentration(transactions, **window), KEY, "left")
     )
     return joined.select(
-        *base.columns,
+        *STAGED_COLUMNS,
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in TOKEN_COLUMNS + CALL_COLUMNS],
         *_pace_columns(),
         F.coalesce("hour_of_day_entropy", F.lit(0.0)).alias("hour_of_day_entropy"),
@@ -368,7 +412,12 @@ SCORED = [
 
 
 def feature_mart(features: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
-    """Z-scores of the feature table plus run metadata; a constant gives NULL."""
+    """Z-scores of the feature table plus run metadata; a constant gives NULL.
+
+    The features are read twice, for the moments and for the scores, so they
+    are stored first.
+    """
+    features = settle(features)
     kept = [
         KEY,
         "is_contract",

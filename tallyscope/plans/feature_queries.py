@@ -9,6 +9,7 @@ from tallyscope.operators import features, staging
 from tallyscope.plans.catalogue import query, r
 from tallyscope.plans.ledger_queries import RHYTHM, STAGE_CI, STAGE_TX, WINDOW
 from tallyscope.schemas import FEATURES, KEY
+from tallyscope.session import settle
 from tallyscope.sources.views import Views, book
 
 PARTS = {
@@ -195,7 +196,7 @@ def _(v: Views):
     MATRIX_VIEWS,
 )
 def _(v: Views):
-    return features.standardise(matrix(v), FEATURES)
+    return features.standardise(settle(matrix(v)), FEATURES)
 
 
 
@@ -218,7 +219,7 @@ def _(v: Views):
     MATRIX_VIEWS,
 )
 def _(v: Views):
-    return features.min_max(matrix(v), FEATURES)
+    return features.min_max(settle(matrix(v)), FEATURES)
 
 
 @query(

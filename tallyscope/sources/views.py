@@ -17,7 +17,7 @@ from tallyscope.operators.ledger import (
     explode_token_transfers,
     explode_transactions,
 )
-from tallyscope.session import use_utc
+from tallyscope.session import settle, use_utc
 
 # Protocol category by k; above 59 the registry does not know the contract.
 RANGES = {
@@ -262,7 +262,9 @@ class Views:
 
     @cached_property
     def active(self) -> DataFrame:
-        return self.events.select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("wallet_address")).distinct()
+        """All users as active accounts; stored, as the sample of accounts is."""
+        user = F.concat(F.lit("w"), F.col("user_id").cast("string"))
+        return settle(self.events.select(user.alias("wallet_address")).distinct())
 
     @cached_property
     def led(self) -> DataFrame:
