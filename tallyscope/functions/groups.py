@@ -33,7 +33,7 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def _join_small_or_salted(
     df: DataFrame, side: DataFrame, on: str, how: str, limit: int
 ) -> DataFrame:
-    """Join rows to a side with one row per key, by broadcast or by key and salt.
+    """Join rows to a keyed side, by broadcast or by key and salt.
 
     A side of a checked size is broadcast. A larger one is joined by key and
     salt, so that the rows of a hot key spread over ``SALTS`` tasks. The size
@@ -48,27 +48,31 @@ def _join_small_or_salted(
     return salted.join(spread, [on, "_salt"], how).drop("_salt")
 
 
-def _key_set(keys: DataFrame, on: str) -> DataFrame:
-    return keys.select(F.col(keys.columns[0]).alias(on)).distinct()
+def _by_keys(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int) -> DataFrame:
+    keys = keys.select(F.col(keys.columns[0]).alias(on))
+    # Repeated keys do no harm here; they only matter if they make the set large.
+    if is_small(keys, limit):
+        joined = df.join(F.broadcast(keys.where(F.col(on).isNotNull())), on, how)
+    else:
+        joined = _join_small_or_salted(df, keys.distinct(), on, how, limit)
+    return joined.select(*df.columns)
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` occurs in the one-column frame ``keys``."""
-    kept = _join_small_or_salted(df, _key_set(keys, on), on, "left_semi", limit)
-    return kept.select(*df.columns)
+    return _by_keys(df, keys, on, "left_semi", limit)
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: str, *, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` does not occur in ``keys``."""
-    kept = _join_small_or_salted(df, _key_set(keys, on), on, "left_anti", limit)
-    return kept.select(*df.columns)
+    return _by_keys(df, keys, on, "left_anti", limit)
 
 
 def flag_keys(
     df: DataFrame, keys: DataFrame, on: str, flag: str, *, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Add a column that tells whether ``on`` occurs in ``keys``."""
-    side = _key_set(keys, on).withColumn("_found", F.lit(True))
+    side = keys.select(F.col(keys.columns[0]).alias(on)).distinct().withColumn("_found", F.lit(True))
     matched = _join_small_or_salted(df, side, on, "left", limit)
     return matched.select(*df.columns, F.coalesce("_found", F.lit(False)).alias(flag))
 
@@ -130,11 +134,13 @@ def range_chunks(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id())
 
 
-def global_position(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+def global_position(
+    df: DataFrame, *order: Column, name: str = "position", size: str = "total"
+) -> DataFrame:
     """Number all rows 1..n in the given (total) order, without one sorting task.
 
     The sorted chunks are settled once, so both readers see the same chunks.
-    Only one size per chunk meets in a single task.
+    Only one size per chunk meets in a single task. ``size`` becomes n.
     """
     low_bits = (1 << 33) - 1
     ordered = settle(
@@ -146,11 +152,16 @@ def global_position(df: DataFrame, *order: Column, name: str = "position") -> Da
         .drop("_id")
     )
     sizes = ordered.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(CHUNK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    all_chunks = Window.partitionBy(F.lit(0))
+    earlier = all_chunks.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        CHUNK,
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_n").over(all_chunks).alias(size),
+    )
     # One row per partition: a proven bound for the broadcast.
     placed = ordered.join(F.broadcast(starts), CHUNK)
-    return placed.withColumn(name, F.col("_start") + F.col("_at") + 1).drop(CHUNK, "_at", "_start")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_at") + 1).alias(name), size)
 
 
 def group_position(

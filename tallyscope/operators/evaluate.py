@@ -158,11 +158,12 @@ def drift_report(
 ) -> DataFrame:
     """Population stability index per feature over the baseline's deciles.
 
-    The bounds of all features are one row, and both tables are only counted.
+    The bounds of all features are one row (exact up to 100,000 rows, a mergeable
+    sketch beyond), and both tables are only counted.
     """
     shares = [i / bins for i in range(1, bins)]
     bounds = one_row(
-        baseline.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(c) for c in features])
+        baseline.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 100_000).alias(c) for c in features])
     )
     floor = 1e-4
 

@@ -43,17 +43,21 @@ def by_day(ledger: DataFrame) -> DataFrame:
         F.min("_from").alias("_from"),
         F.max("_to").alias("_to"),
         F.max("_data").alias("_data"),
-        *[F.sum(F.when(F.col("_hour") == h, F.col("_n"))).alias(f"_h{h}") for h in HOURS],
+        *hour_sums("_n"),
     )
 
 
+def hour_sums(count: str) -> list[Column]:
+    """The expression ``count`` summed per hour of day, as columns ``_h0``..``_h23``."""
+    return [F.expr(f"sum(CASE WHEN _hour = {h} THEN {count} END)").alias(f"_h{h}") for h in HOURS]
+
+
 def hour_entropy(total: Column, base2: bool) -> Column:
     """Entropy over the 24 hour sums of a ``by_day`` group."""
-    log = F.log2 if base2 else F.ln
-    parts = F.lit(0.0)
-    for h in HOURS:
-        c = F.sum(f"_h{h}").cast("double")
-        parts = parts + F.coalesce(c * log(c), F.lit(0.0))
+    log, sql_log = (F.log2, "log2") if base2 else (F.ln, "ln")
+    # SQL text: hundreds of single column calls would slow down planning.
+    c = [f"CAST(sum(_h{h}) AS DOUBLE)" for h in HOURS]
+    parts = F.expr(" + ".join(f"coalesce({x} * {sql_log}({x}), 0D)" for x in c))
     return entropy_from_sums(total, parts, log(total))
 
 

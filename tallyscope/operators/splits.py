@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.groups import global_position, group_position, one_row
+from tallyscope.functions.groups import global_position, group_position
 from tallyscope.schemas import KEY
 
 
@@ -19,9 +19,11 @@ def shuffle_key(key: str, seed: int) -> Column:
 
 def interleaved_split(df: DataFrame, volume: str = "total_eth_volume", key: str = KEY) -> DataFrame:
     """Deal accounts by falling volume alternately into two halves."""
-    ranked = global_position(df, F.col(volume).desc(), F.col(key).asc())
+    # To the ninth digit, so that ranks do not depend on the order of addition.
+    ranked = global_position(df, F.round(volume, 9).desc(), F.col(key).asc())
     odd = F.col("position") % 2 == 1
-    return ranked.withColumn("split", F.when(odd, "discovery").otherwise("validation"))
+    side = F.when(odd, "discovery").otherwise("validation")
+    return ranked.select(*df.columns, "position", side.alias("split"))
 
 
 def spaced_sample(distances: DataFrame, by: str = "cluster", key: str = KEY, ratio: float = 0.20) -> DataFrame:
@@ -85,8 +87,8 @@ def stratified_folds(
 def subsample(df: DataFrame, ratio: float = 0.8, key: str = KEY, seed: int = 42) -> DataFrame:
     """Exactly floor(ratio * n) rows, without replacement."""
     ranked = global_position(df, shuffle_key(key, seed), F.col(key))
-    size = one_row(ranked.agg(F.max("position").alias("n")))["n"]
-    return ranked.where(F.col("position") <= F.floor(size * F.lit(ratio))).select(*df.columns)
+    kept = ranked.where(F.col("position") <= F.floor(F.col("total") * F.lit(ratio)))
+    return kept.select(*df.columns)
 
 
 def explorer_page(

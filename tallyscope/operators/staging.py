@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyscope.functions.groups import both_sides, global_position, tile, top_k
 from tallyscope.functions.scalars import count_where, in_window, safe_divide
 from tallyscope.functions.shares import concentration, entropy_from_sums
-from tallyscope.operators.features import hour_entropy, standardise
+from tallyscope.operators.features import hour_entropy, hour_sums, standardise
 from tallyscope.schemas import KEY, addresses
 from tallyscope.session import settle
 
@@ -43,10 +43,9 @@ def sample_accounts(
     active = account_totals(recent).where(
         (F.col("tx_count") >= min_tx) & (F.col("total_eth") >= min_eth)
     )
-    ranked = global_position(active, F.col("total_eth").desc(), F.col(KEY).asc())
-    # The positions run from 1 to n, so the total is the largest of them.
-    n = ranked.agg(F.max("position").alias("n")).scalar()
-    tiers = ranked.withColumn("_tier", tile(F.col("position"), n, 3))
+    # To the ninth digit, so that tiers do not depend on the order of addition.
+    ranked = global_position(active, F.round("total_eth", 9).desc(), F.col(KEY).asc())
+    tiers = ranked.withColumn("_tier", tile(F.col("position"), F.col("total"), 3))
     kept = top_k(tiers, ["_tier"], [F.md5(KEY), F.col(KEY)], max_accounts // 3)
     return kept.select(KEY, "tx_count", "total_eth").orderBy(F.desc("total_eth"), KEY)
 
@@ -80,9 +79,6 @@ def median_value(transactions: DataFrame) -> DataFrame:
     )
 
 
-HOURS = range(24)
-
-
 def _account_days(transactions: DataFrame) -> DataFrame:
     """Both directions of each account by day, with the day's hourly shape.
 
@@ -117,7 +113,7 @@ def _account_days(transactions: DataFrame) -> DataFrame:
         F.max("_to").alias("_to"),
         F.max(n).alias("_busiest"),
         F.count(F.lit(1)).alias("_hours"),
-        *[F.sum(F.when(F.col("_hour") == h, n)).alias(f"_h{h}") for h in HOURS],
+        *hour_sums("_sent_n + _got_n"),
     )
 
 

@@ -353,7 +353,7 @@ ORDER = "md5('42:' || c_custkey), c_custkey"
 @query(
     "t3_interleaved_split",
     f"""{VOLUMES} SELECT wallet_address, CASE WHEN row_number() OVER (
-    ORDER BY round(total_eth_volume, 6) DESC, wallet_address) % 2 = 1 THEN 'discovery' ELSE 'validation' END AS split
+    ORDER BY round(total_eth_volume, 9) DESC, wallet_address) % 2 = 1 THEN 'discovery' ELSE 'validation' END AS split
     FROM fv""",
     "tx",
 )

@@ -329,7 +329,7 @@ SAMPLE = {"min_tx": 10, "min_eth": 1000.0, "max_accounts": 90}
         SELECT from_address AS wallet_address, value_eth FROM tx WHERE {RECENT}
         UNION ALL SELECT to_address, value_eth FROM tx WHERE {RECENT}) GROUP BY 1
         HAVING count(*) >= 10 AND sum(value_eth) >= 1000),
-    t AS (SELECT *, ntile(3) OVER (ORDER BY round(total_eth, 6) DESC, wallet_address) AS tier FROM q),
+    t AS (SELECT *, ntile(3) OVER (ORDER BY round(total_eth, 9) DESC, wallet_address) AS tier FROM q),
     n AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5(wallet_address), wallet_address) AS rn FROM t)
     SELECT wallet_address, tx_count, {r('total_eth', 'total_eth')} FROM n WHERE rn <= 30""",
     "tx",

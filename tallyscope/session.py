@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+    """Write ``df`` as a table in the shared folder and read it from there.
 
     Rows keep the values of non-deterministic columns (partition numbers) for
-    every later use, and a lost executor only re-reads the written files.
+    every later use, later reads take only the columns they need, and a lost
+    executor costs a re-read instead of the whole lineage.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # The schema is known, so no job has to read it from the files.
+    return spark.read.schema(df.schema).parquet(path)
