@@ -1,7 +1,7 @@
 """Account context: what an account does, with whom, and when.
 
-All functions work for many accounts at once; a single account is a filter on
-the input, which Spark pushes into the scan.
+All functions work for many accounts at once. With ``accounts`` (one column of
+addresses) the rows of other accounts are dropped before anything is counted.
 """
 
 from __future__ import annotations
@@ -10,17 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import both_sides, top_k
+from tallyscope.functions.groups import both_sides, keep_keys, top_k
 from tallyscope.functions.scalars import count_where
 from tallyscope.schemas import FEATURES, KEY
+from tallyscope.session import settle
 
 HOURS = range(24)
 
 
-def transaction_summary(transactions: DataFrame) -> DataFrame:
+def _only(df: DataFrame, accounts: DataFrame | None) -> DataFrame:
+    return df if accounts is None else keep_keys(df, accounts, KEY)
+
+
+def transaction_summary(transactions: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """Count, volume, mean and first and last time; a self transfer counts once."""
     return (
-        both_sides(transactions, once=True)
+        _only(both_sides(transactions, once=True), accounts)
         .groupBy(KEY)
         .agg(
             F.count(F.lit(1)).alias("total_transactions"),
@@ -32,12 +37,15 @@ def transaction_summary(transactions: DataFrame) -> DataFrame:
     )
 
 
-def top_contracts(calls: DataFrame, registry: DataFrame, limit: int = 10) -> DataFrame:
+def top_contracts(
+    calls: DataFrame, registry: DataFrame, limit: int = 10, accounts: DataFrame | None = None
+) -> DataFrame:
     """Most called contracts per sender with registry label and category.
 
     Calls are counted and cut to the top before the registry is joined.
     """
-    counted = calls.groupBy(F.lower("from_address").alias(KEY), "to_address").agg(
+    sent = _only(calls.withColumn(KEY, F.lower("from_address")), accounts)
+    counted = sent.groupBy(KEY, "to_address").agg(
         F.count(F.lit(1)).alias("interaction_count"), F.sum("value_eth").alias("total_eth")
     )
     best = top_k(counted, [KEY], [F.desc("interaction_count"), F.asc("to_address")], limit)
@@ -57,10 +65,10 @@ def top_contracts(calls: DataFrame, registry: DataFrame, limit: int = 10) -> Dat
     )
 
 
-def token_counts(transfers: DataFrame) -> DataFrame:
+def token_counts(transfers: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """Transfers per account and token, by kind."""
     return (
-        both_sides(transfers, once=True)
+        _only(both_sides(transfers, once=True), accounts)
         .groupBy(KEY, "token_address")
         .agg(
             F.count(F.lit(1)).alias("transfer_count"),
@@ -70,10 +78,12 @@ def token_counts(transfers: DataFrame) -> DataFrame:
     )
 
 
-def token_activity(transfers: DataFrame, limit: int = 10) -> DataFrame:
+def token_activity(
+    transfers: DataFrame, limit: int = 10, accounts: DataFrame | None = None
+) -> DataFrame:
     """Distinct tokens per account, and its most transferred tokens by rank."""
     # The window holds an account's distinct tokens, not its transfers.
-    counted = token_counts(transfers).withColumn(
+    counted = token_counts(transfers, accounts).withColumn(
         "unique_tokens", F.count("token_address").over(Window.partitionBy(KEY))
     )
     best = top_k(counted, [KEY], [F.desc("transfer_count"), F.asc("token_address")], limit)
@@ -82,12 +92,13 @@ def token_activity(transfers: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def timing_patterns(transactions: DataFrame) -> DataFrame:
+def timing_patterns(transactions: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """24 hour shares, three busiest hours and weekday share of sent rows."""
     ts = F.col("block_timestamp")
-    counted = transactions.groupBy(
-        F.lower("from_address").alias(KEY), F.hour(ts).alias("_h"), F.weekday(ts).alias("_d")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    sent = _only(transactions.withColumn(KEY, F.lower("from_address")), accounts)
+    counted = sent.groupBy(KEY, F.hour(ts).alias("_h"), F.weekday(ts).alias("_d")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     total = F.sum("_n")
     per_hour = [F.coalesce(F.sum(F.when(F.col("_h") == h, F.col("_n"))), F.lit(0)) for h in HOURS]
     sums = counted.groupBy(KEY).agg(
@@ -119,20 +130,20 @@ def account_context(
 
     Lists hold at most ``limit`` entries, so collecting them is bounded.
     """
-    wanted = accounts.select(F.lower(accounts.columns[0]).alias(KEY)).distinct()
-    summary = transaction_summary(transactions)
+    wanted = settle(accounts.select(F.lower(accounts.columns[0]).alias(KEY)).distinct())
+    summary = transaction_summary(transactions, wanted)
     summary = summary.select(
         KEY, F.struct(*[c for c in summary.columns if c != KEY]).alias("transaction_summary")
     )
-    contracts = top_contracts(calls, registry, limit)
+    contracts = top_contracts(calls, registry, limit, wanted)
     contracts = contracts.groupBy(KEY).agg(_ranked(contracts, [KEY, "rank"]).alias("top_contracts"))
-    tokens = token_activity(transfers, limit)
+    tokens = token_activity(transfers, limit, wanted)
     tokens = (
         tokens.groupBy(KEY, "unique_tokens")
         .agg(_ranked(tokens, [KEY, "rank", "unique_tokens"]).alias("top_tokens"))
         .select(KEY, F.struct("unique_tokens", "top_tokens").alias("token_activity"))
     )
-    timing = timing_patterns(transactions)
+    timing = timing_patterns(transactions, wanted)
     timing = timing.select(
         KEY, F.struct("most_active_hours", "weekday_ratio", "hourly_distribution").alias("timing_patterns")
     )
@@ -205,11 +216,27 @@ def profile_exemplars(exemplars: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-DESCRIPTION = (
+ACCOUNT_TEXT = (
     "Account {account} is labelled {label} with confidence {confidence}.\n"
     "Its behaviour:\n{features}\n"
     "Describe its strategy and its part in the market in two or three sentences."
 )
+CLUSTER_TEXT = (
+    "Cluster {cluster} has {size} members.\nIts statistics:\n{statistics}\n"
+    "Its most typical members:\n{members}\n"
+    "Name the cluster, describe what its members share, and say what that means for others."
+)
+COMPARISON_TEXT = (
+    "First account {first}:\n{first_features}\nSecond account {second}:\n{second_features}\n"
+    "Compare both: what they share, how they differ, and whether one owner is likely."
+)
+
+
+def _fill(template: str, fields: dict[str, Column]) -> Column:
+    text = F.lit(template)
+    for mark, value in fields.items():
+        text = F.replace(text, F.lit("{" + mark + "}"), value.cast("string"))
+    return text
 
 
 def feature_lines(values: dict[str, Column]) -> Column:
@@ -218,16 +245,63 @@ def feature_lines(values: dict[str, Column]) -> Column:
 
 
 def describe_accounts(
-    scored: DataFrame, features: list[str] = FEATURES, template: str = DESCRIPTION
+    scored: DataFrame, features: list[str] = FEATURES, template: str = ACCOUNT_TEXT
 ) -> DataFrame:
     """Fill a text template from features, label and confidence."""
+    text = _fill(
+        template,
+        {
+            "account": F.col(KEY),
+            "label": F.col("label"),
+            "confidence": F.format_string("%.1f%%", F.col("confidence") * 100),
+            "features": feature_lines({f: F.col(f) for f in features}),
+        },
+    )
+    return scored.select(KEY, text.alias("prompt"))
+
+
+def describe_clusters(
+    profile: DataFrame, exemplars: DataFrame, key: str = KEY, template: str = CLUSTER_TEXT
+) -> DataFrame:
+    """Fill a text template per cluster from its profile and exemplars.
+
+    A cluster has one profile row per feature and a few exemplars, so the
+    collected lists are short.
+    """
+    lines = F.transform(
+        F.sort_array(F.collect_list(F.struct("feature", F.round("mean", 4).alias("mean")))),
+        lambda x: F.concat(F.lit("  "), x["feature"], F.lit(": "), F.format_string("%.4f", x["mean"])),
+    )
+    stats = profile.groupBy("cluster", "size").agg(F.array_join(lines, "\n").alias("_stats"))
+    named = F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("k")))),
+        lambda x: F.concat(F.lit("  "), x["k"]),
+    )
+    members = exemplars.groupBy("cluster").agg(F.array_join(named, "\n").alias("_members"))
+    text = _fill(
+        template,
+        {
+            "cluster": F.col("cluster"),
+            "size": F.col("size"),
+            "statistics": F.col("_stats"),
+            "members": F.coalesce("_members", F.lit("  none")),
+        },
+    )
+    return stats.join(members, "cluster", "left").select("cluster", text.alias("prompt"))
+
+
+def compare_accounts(
+    pairs: DataFrame, features: DataFrame, names: list[str] = FEATURES, template: str = COMPARISON_TEXT
+) -> DataFrame:
+    """Fill a text template for each given pair of accounts (first, second)."""
+    lines = feature_lines({n: F.col(n) for n in names})
+    first = features.select(F.col(KEY).alias("first"), lines.alias("_a"))
+    second = features.select(F.col(KEY).alias("second"), lines.alias("_b"))
+    joined = pairs.join(first, "first").join(second, "second")
     fields = {
-        "{account}": F.col(KEY),
-        "{label}": F.col("label"),
-        "{confidence}": F.format_string("%.1f%%", F.col("confidence") * 100),
-        "{features}": feature_lines({f: F.col(f) for f in features}),
+        "first": F.col("first"),
+        "first_features": F.col("_a"),
+        "second": F.col("second"),
+        "second_features": F.col("_b"),
     }
-    text = F.lit(template)
-    for mark, value in fields.items():
-        text = F.replace(text, F.lit(mark), value)
-    return scored.select(KEY, text.alias("prompt"))
+    return joined.select("first", "second", _fill(template, fields).alias("prompt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.scalars import ratio_band
-from tallyscope.operators import clusters, splits
+from tallyscope.operators import clusters, context, splits
 from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.schemas import KEY
 from tallyscope.sources import sinks
@@ -319,6 +319,23 @@ def _(v: Views):
     return rows.select("cluster", "size", "pct", "feature", "s.*")
 
 
+@query(
+    "c8_cluster_text",
+    f"""{PROFILE}, {GAPS},
+    st AS (SELECT cluster, size, string_agg('  ' || feature || ': ' || format('{{:.4f}}', round(mean, 4)), chr(10)
+        ORDER BY feature) AS t FROM prof GROUP BY 1, 2),
+    ex AS (SELECT cluster, string_agg('  ' || vec_id, chr(10) ORDER BY rn) AS m FROM (SELECT *, row_number() OVER (
+        PARTITION BY cluster ORDER BY distance, vec_id) AS rn FROM gaps) WHERE rn <= 3 GROUP BY 1)
+    SELECT cluster, 'Cluster ' || cluster || ' has ' || size || ' members.' || chr(10) || 'Its statistics:' || chr(10)
+    || t || chr(10) || 'Its most typical members:' || chr(10) || coalesce(m, '  none') || chr(10)
+    || 'Name the cluster, describe what its members share, and say what that means for others.' AS prompt
+    FROM st LEFT JOIN ex USING (cluster)""",
+    "dims",
+)
+def _(v: Views):
+    return context.describe_clusters(profile(v), clusters.exemplars(v.points, DIMS, 3, ID), ID)
+
+
 @query(
     "s14_exemplar_file",
     f"""{GAPS} SELECT vec_id, cluster, {r('distance', 'distance')}, CAST(rn AS INT) AS rank FROM (

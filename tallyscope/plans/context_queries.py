@@ -330,7 +330,7 @@ def _(v: Views):
 
 
 @query(
-    "c8_description_text",
+    "c8_account_text",
     """SELECT 'w' || c_custkey AS wallet_address, 'Account w' || c_custkey || ' is labelled ' || lower(c_mktsegment)
     || ' with confidence ' || format('{:.1f}', c_nationkey * 4.0) || '%.' || chr(10) || 'Its behaviour:' || chr(10)
     || '  orders: ' || c_nationkey || chr(10) || '  tier: ' || (c_custkey % 3) || chr(10)
@@ -347,6 +347,27 @@ def _(v: Views):
     return context.describe_accounts(scored, ["orders", "tier"])
 
 
+_PAIR = """SELECT a.n AS first, b.n AS second, 'First account ' || a.n || ':' || chr(10) || a.t || chr(10)
+    || 'Second account ' || b.n || ':' || chr(10) || b.t || chr(10)
+    || 'Compare both: what they share, how they differ, and whether one owner is likely.' AS prompt"""
+
+
+@query(
+    "c8_comparison_text",
+    f"""f AS (SELECT 'w' || c_custkey AS n, c_custkey, '  nation: ' || c_nationkey || chr(10) || '  segment: '
+        || c_mktsegment AS t FROM customer)
+    {_PAIR} FROM f a JOIN f b ON b.c_custkey = a.c_custkey + 1""",
+)
+def _(v: Views):
+    key = F.col("c_custkey")
+    account = lambda k: F.concat(F.lit("w"), k.cast("string"))
+    known = v.table("customer").select(
+        account(key).alias(KEY), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
+    )
+    pairs = v.table("customer").select(account(key).alias("first"), account(key + 1).alias("second"))
+    return context.compare_accounts(pairs, known, ["nation", "segment"])
+
+
 @query(
     "s14_sampled_contexts",
     f"""{CONTEXT} SELECT wallet_address, coalesce(total_transactions, 0) AS tx_count,

@@ -75,14 +75,15 @@ def _(v: Views):
     path = scratch(v.spark, "extract")
     sinks.write_once(rows, path, "o_orderpriority")
     # A second run finds the result and writes nothing.
-    return sinks.write_once(rows.limit(0), path, "o_orderpriority")
+    return sinks.write_once(rows, path, "o_orderpriority")
 
 
 def _customer_features(v: Views, shift: float):
     balance = F.col("c_acctbal") + shift
     return v.table("customer").select(
         F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias(KEY),
-        F.col("c_custkey").alias("_k"),
+        F.col("c_acctbal").alias("_balance"),
+        F.col("c_mktsegment").alias("_segment"),
         *[(balance + i).alias(c) for i, c in enumerate(FEATURES)],
     )
 
@@ -91,64 +92,66 @@ def _customer_features(v: Views, shift: float):
     "s6_feature_upsert",
     "SELECT 'w' || c_custkey AS wallet_address, "
     + ", ".join(
-        r(f"c_acctbal + {i} + CASE WHEN c_custkey % 3 = 0 THEN 1000 ELSE 0 END", c) for i, c in enumerate(FEATURES)
+        r(f"c_acctbal + {i} + CASE WHEN c_mktsegment = 'BUILDING' THEN 1000 ELSE 0 END", c)
+        for i, c in enumerate(FEATURES)
     )
-    + " FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    + " FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'BUILDING'",
 )
 def _(v: Views):
     path = scratch(v.spark, "features")
-    sinks.upsert_features(_customer_features(v, 0.0).where("_k % 2 = 0"), path, "1")
-    return sinks.upsert_features(_customer_features(v, 1000.0).where("_k % 3 = 0"), path, "2")
+    sinks.upsert_features(_customer_features(v, 0.0).where("_balance > 0"), path, "1")
+    return sinks.upsert_features(_customer_features(v, 1000.0).where("_segment = 'BUILDING'"), path, "2")
 
 
 @query(
     "s7_feature_append",
     "SELECT 'w' || c_custkey AS wallet_address, "
     + ", ".join(
-        r("CASE WHEN c_custkey % 4 = 1 THEN 0 ELSE c_acctbal END" if i == 0 else f"c_acctbal + {i}", c)
+        r("CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END" if i == 0 else f"c_acctbal + {i}", c)
         for i, c in enumerate(FEATURES)
     )
     + " FROM customer",
 )
 def _(v: Views):
     first = FEATURES[0]
-    rows = _customer_features(v, 0.0).withColumn(first, F.when(F.col("_k") % 4 != 1, F.col(first)))
+    rows = _customer_features(v, 0.0).withColumn(first, F.when(F.col("_segment") != "BUILDING", F.col(first)))
     path = scratch(v.spark, "appended")
-    sinks.append_features(rows.where("_k % 2 = 0"), path)
-    return sinks.append_features(rows.where("_k % 2 = 1"), path)
+    sinks.append_features(rows.where("_balance > 0"), path)
+    return sinks.append_features(rows.where("_balance <= 0"), path)
 
 
 @query(
     "s8_label_replace",
-    f"""SELECT 'w' || c_custkey AS address, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'hodler' END AS label,
+    f"""SELECT 'w' || c_custkey AS address, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'hodler' END AS label,
     '' AS source, {r('0', 'total_tx')}, {r('0', 'dex_tx')}, {r('0', 'dex_ratio')},
     {r('c_acctbal', 'total_eth')}, {r('0', 'tx_per_day')}, '' AS wallet_address FROM customer""",
 )
 def _(v: Views):
     labels = v.table("customer").select(
         F.concat(F.lit("w"), F.col("c_custkey").cast("string")).alias("address"),
-        F.when(F.col("c_custkey") % 5 != 0, "hodler").alias("label"),
+        F.when(F.col("c_mktsegment") != "BUILDING", "hodler").alias("label"),
         F.col("c_acctbal").alias("total_eth"),
     )
     path = scratch(v.spark, "labels")
-    sinks.replace_labels(labels.limit(3), path)
+    # The second load replaces the first one whole.
+    sinks.replace_labels(labels.where("total_eth > 0"), path)
     return sinks.replace_labels(labels, path)
 
 
 @query(
     "s9_raw_load_transactions",
     f"""SELECT hash, block_number, block_timestamp, from_address, to_address,
-    {r('CASE WHEN event_id % 7 = 0 THEN 0 ELSE value_eth END', 'value_eth')}, CAST(gas AS BIGINT) AS gas,
-    CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE gas_price END AS BIGINT) AS gas_price, receipt_status,
-    CASE WHEN event_id % 13 = 0 THEN '' ELSE method_id END AS method_id FROM tx""",
+    {r('CASE WHEN receipt_status = 0 THEN 0 ELSE value_eth END', 'value_eth')}, CAST(gas AS BIGINT) AS gas,
+    CAST(CASE WHEN value_eth > 100 THEN 0 ELSE gas_price END AS BIGINT) AS gas_price, receipt_status,
+    CASE WHEN method_id = '0x' THEN '' ELSE method_id END AS method_id FROM tx""",
     "tx",
 )
 def _(v: Views):
-    number = F.substring("hash", 2, 20).cast("long")
+    value = F.col("value_eth")
     rows = (
-        v.tx.withColumn("value_eth", F.when(number % 7 == 0, "none").otherwise(F.col("value_eth").cast("string")))
-        .withColumn("gas_price", F.when(number % 11 != 0, F.col("gas_price")))
-        .withColumn("method_id", F.when(number % 13 != 0, F.col("method_id")))
+        v.tx.withColumn("gas_price", F.when(value <= 100, F.col("gas_price")))
+        .withColumn("method_id", F.when(F.col("method_id") != "0x", F.col("method_id")))
+        .withColumn("value_eth", F.when(F.col("receipt_status") == 0, "none").otherwise(value.cast("string")))
     )
     return sinks.load_raw(rows, "raw_transactions", scratch(v.spark, "raw-tx"))
 
@@ -157,17 +160,16 @@ def _(v: Views):
     "s9_raw_load_transfers",
     """SELECT transaction_hash, block_timestamp, from_address, to_address, token_address,
     coalesce(CAST(amount AS VARCHAR), '') AS raw_value,
-    CAST(CASE WHEN event_id % 10 = 5 THEN 0 ELSE is_erc20 END AS INT) AS is_erc20,
+    CAST(CASE WHEN raw_value > 100 THEN 0 ELSE is_erc20 END AS INT) AS is_erc20,
     CAST(is_erc721 AS INT) AS is_erc721 FROM src_tt""",
     "src_tt",
 )
 def _(v: Views):
-    odd = F.col("value") == "n/a"
-    flags = v.tt.select("transaction_hash", "is_erc20", "is_erc721")
-    rows = v.source_transfers.join(flags, "transaction_hash").select(
-        "*", F.when(~odd, F.col("value")).alias("raw_value"), F.when(~odd, F.col("is_erc20")).alias("_flag")
+    flags = v.tt.select(
+        "transaction_hash", F.when(F.col("raw_value") <= 100, F.col("is_erc20")).alias("is_erc20"), "is_erc721"
     )
-    rows = rows.drop("value", "is_erc20").withColumnRenamed("_flag", "is_erc20")
+    amount = F.when(F.col("value") != "n/a", F.col("value"))
+    rows = v.source_transfers.withColumn("raw_value", amount).join(flags, "transaction_hash")
     return sinks.load_raw(rows, "raw_token_transfers", scratch(v.spark, "raw-tt"))
 
 
