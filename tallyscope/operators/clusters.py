@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import attach, exact_median, one_row, top_k
+from tallyscope.functions.groups import attach, exact_median, global_position, one_row, top_k
 from tallyscope.functions.scalars import dot, norm, ratio_band, ratio_direction, squared_distance
 from tallyscope.operators.features import standardise
 from tallyscope.operators.splits import subsample
@@ -139,21 +139,23 @@ def density_clusters(
     component = _connected_cells(dense)
     sizes = component.groupBy("_root").agg(F.sum("_n").alias("size"), F.min("_min").alias("_first"))
     kept = sizes.where(F.col("size") >= min_cluster_size)
-    # One entry per cluster; a cluster has at least ``min_cluster_size`` points.
-    order = kept.agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("s"), "_first", "_root"))).alias("l")
+    ranked = global_position(kept, F.col("size").desc(), F.col("_first").asc())
+    numbers = ranked.select(
+        _cell_name("_root.x", "_root.y").alias("_of"), (F.col("position") - 1).cast("int").alias("cluster")
     )
-    roots = F.transform("_clusters", lambda c: c["_root"])
-    listed = component.withColumn("_clusters", order.scalar())
-    numbered = listed.withColumn("_at", F.array_position(roots, F.col("_root"))).select(
-        "_x", "_y", F.when(F.col("_at") > 0, F.col("_at") - 1).cast("int").alias("cluster")
+    # A component may hold most cells, and a cell most points.
+    cells_of = attach(component.withColumn("_of", _cell_name("_root.x", "_root.y")), numbers, "_of")
+    side = settle(
+        cells_of.where(F.col("cluster").isNotNull()).select(_cell_name("_x", "_y").alias("_cell"), "cluster")
     )
-    cell = F.concat_ws(":", "_x", "_y")
-    side = settle(numbered.select(cell.alias("_cell"), "cluster"))
-    joined = attach(placed.drop("cluster").withColumn("_cell", cell), side, "_cell")
+    joined = attach(placed.drop("cluster").withColumn("_cell", _cell_name("_x", "_y")), side, "_cell")
     return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))).drop("_x", "_y", "_cell")
 
 
+def _cell_name(x: str, y: str) -> Column:
+    return F.concat_ws(":", F.col(x).cast("string"), F.col(y).cast("string"))
+
+
 def _connected_cells(dense: DataFrame) -> DataFrame:
     """Smallest cell of the component of every dense cell.
 

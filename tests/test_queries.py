@@ -42,3 +42,35 @@ def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns[0] == "wallet_address" and len(df.columns) == 13
     assert df.count() > 0
+
+
+ORDERED = [
+    "f5_avg_holding_duration_estimate_py",
+    "f11_value_velocity_py",
+    "m1_account_sample",
+    "t3_interleaved_split",
+    "t4_spaced_sample",
+    "t5_stratified_split",
+    "t6_stratified_folds",
+    "t7_subsample",
+]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_over_many_chunks(spark, con, name):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        problem, _ = compare(QUERIES[name](spark, FOLDER), con, CHECKS[name])
+    finally:
+        spark.conf.unset(setting)
+    assert problem == ""
+
+
+def test_zone_of_the_session_does_not_matter(spark, con):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        problem, _ = compare(QUERIES["c4_hour_shares"](spark, FOLDER), con, CHECKS["c4_hour_shares"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert problem == ""
