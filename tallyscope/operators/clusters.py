@@ -17,7 +17,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,18 +180,14 @@ def _connected_cells(dense: DataFrame) -> DataFrame:
         jumped = hooked.join(
             parents, (F.col("_offer.x") == F.col("_px")) & (F.col("_offer.y") == F.col("_py")), "left"
         )
-        moved = settle(
-            jumped.select(
-                "_x",
-                "_y",
-                "_n",
-                "_min",
-                F.least(F.col("_offer"), F.coalesce("_grand", F.col("_offer"))).alias("_next"),
-                (F.col("_root") != F.least(F.col("_offer"), F.coalesce("_grand", F.col("_offer")))).alias("_moved"),
-            )
+        following = F.least(F.col("_offer"), F.coalesce("_grand", F.col("_offer")))
+        moved = jumped.select(
+            "_x", "_y", "_n", "_min", following.alias("_root"), (F.col("_root") != following).alias("_moved")
         )
-        state = moved.select("_x", "_y", "_n", "_min", F.col("_next").alias("_root"))
-        if moved.where("_moved").isEmpty():
+        # The written rows are counted on the way, so no job has to look for changes.
+        round_of = Observation()
+        state = settle(moved.observe(round_of, F.count_if("_moved").alias("moved"))).drop("_moved")
+        if round_of.get["moved"] == 0:
             return state
 
 
@@ -387,7 +383,8 @@ def stability(
 ) -> DataFrame:
     """Refit on subsamples; metrics per run and, as run -1, mean and deviation.
 
-    The driver only starts the runs and keeps one row of metrics per run.
+    The silhouette is the one by squared distance, which needs no pairs. The
+    driver only starts the runs and keeps one row of metrics per run.
     """
     spark = points.sparkSession
     rows = []
