@@ -1,6 +1,6 @@
 """Imports every query module of this folder, which fills the catalogue."""
 
-from tallyscope.llm import decontaminate, embedding_dedup, jaccard_join, language, mixing, sharding  # noqa: F401
+from tallyscope.llm import decontaminate, embedding_dedup, jaccard_join, language, mixing, sharding, tokens  # noqa: F401
 from tallyscope.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
