@@ -1,6 +1,21 @@
-"""Imports every query module of this folder, which fills the catalogue."""
+"""Imports every query module of this folder and the pipeline, which fills the catalogue."""
 
-from tallyscope.llm import decontaminate, embedding_dedup, jaccard_join, language, mixing, sharding, tokens  # noqa: F401
+import corpus_pipeline
+from tallyscope.llm import (  # noqa: F401
+    decontaminate,
+    embedding_dedup,
+    extraction,
+    jaccard_join,
+    language,
+    mixing,
+    sharding,
+    tokens,
+    warc,
+)
 from tallyscope.llm.common import CHECKS, QUERIES
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["CHECKS", "QUERIES"]
