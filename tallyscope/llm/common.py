@@ -64,12 +64,12 @@ def ready(spark: SparkSession) -> None:
     _READY.add(context.applicationId)
 
 
-def byte_view(column: pa.Array) -> tuple[bytes, np.ndarray]:
+def byte_view(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; NULL is empty."""
     rows = column.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(rows.buffers()[1], dtype=np.int64)[rows.offset : rows.offset + len(rows) + 1]
-    data = rows.buffers()[2]
-    return (data.to_pybytes() if data is not None else b""), offsets
+    data, low, high = rows.buffers()[2], int(offsets[0]), int(offsets[-1])
+    return (memoryview(data)[low:high] if data is not None and high > low else memoryview(b"")), offsets - low
 
 
 #: A-Z to a-z, all other bytes as they are.

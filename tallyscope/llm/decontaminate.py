@@ -114,7 +114,7 @@ def _scan(windows: WindowSet, text: pa.Array, spans: list, items: list) -> pa.Ar
                 items[k] = sorted({*items[k], *(i for w in np.unique(at[own]) for i in held[w])})
 
     for k in range(len(offsets) - 1):
-        words = data[offsets[k] : offsets[k + 1]].translate(WORDS).split()
+        words = bytes(data[offsets[k] : offsets[k + 1]]).translate(WORDS).split()
         n_words.append(len(words))
         numbers.append(windows.numbers(words))
         size += len(words)

@@ -9,9 +9,10 @@
 3. Connected candidates form groups; a large group is cut into tiles and each pair
    of tiles is one unit of work.
 4. A unit stores its sets, in one global order of the elements, in a prefix tree.
-   Each set walks the tree once: overlaps are shared by all sets below a node, and
-   a subtree is left as soon as the remaining lengths can't reach the overlap that
-   the threshold asks for, or when all its sets are linked with the walker already.
+   All sets walk the tree at once: the overlap with a node's path is found once for
+   all sets below it, and a walker leaves a subtree as soon as the remaining lengths
+   can't reach the overlap that the threshold asks for, or when all sets below are
+   of its class already.
 5. Links become components.
 
 The global order is that of the 64-bit element hashes: fixed, known to every task
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.groups import attach, drop_keys, is_small
 from tallyscope.llm.common import LOWER, byte_view, mix, query, ready, table
-from tallyscope.llm.components import Forest, connected_components, edge_batch
+from tallyscope.llm.components import connected_components, edge_batch
 from tallyscope.session import settle
 
 WORDS = 3
 #: 100 * intersection >= 90 * union.
 PERCENT = 90
 CHUNK_BYTES = 2 << 20
-TILE_SETS, TILE_ELEMENTS = 1_000, 2_000_000
+TILE_SETS, TILE_ELEMENTS = 400, 2_000_000
+#: Elements of a path between two looks at the bounds.
+STRIDE = 48
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -61,14 +64,14 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return table[0][:size], table[1][:size]
 
 
-def word_hashes(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word and the number of words before each row.
 
     One running polynomial over all bytes; a word's hash is the difference of two
     of its values, shifted back to the word's start.
     """
     low, high = int(offsets[0]), int(offsets[-1])
-    raw = np.frombuffer(data[low:high].translate(LOWER), dtype=np.uint8)
+    raw = np.frombuffer(bytes(data[low:high]).translate(LOWER), dtype=np.uint8)
     inside = ~_SPACE[raw]
     previous = np.empty_like(inside)
     previous[:1], previous[1:] = False, inside[:-1]
@@ -177,15 +180,29 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
     return signature[kept], np.array(owners)[own[kept]]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive rows of about ``CHUNK_BYTES``, so that a task's memory doesn't depend on the batch."""
+    _, offsets = byte_view(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
 def _candidate_rows(percent: int, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a signature and the smallest document that has it; 1: a candidate edge; 2: a set's size."""
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sets = shingle_sets(batch.column(1), words)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            signature, owner = signatures(sets, percent)
-            doc = ids[owner] if len(owner) else np.zeros(0, dtype=np.int64)
+            sizes, found = [], [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+            for first, texts in _slices(batch.column(1)):
+                sets = shingle_sets(texts, words)
+                sizes += [len(s) for s in sets]
+                signature, owner = signatures(sets, percent)
+                found.append((signature, ids[first + owner]))
+            sizes = np.array(sizes, dtype=np.int64)
+            signature, doc = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((doc, signature))
             signature, doc = signature[order].view(np.int64), doc[order]
             head = np.ones(len(doc), dtype=bool)
@@ -222,99 +239,110 @@ def _same_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 class Node:
-    """A path of elements that all sets below share, with what bounds those sets."""
+    """A path of elements that the sets below (low to high, in tree order) share."""
 
-    __slots__ = ("path", "depth", "children", "sets", "shortest", "longest", "joined")
+    __slots__ = ("path", "depth", "children", "low", "high")
 
-    def __init__(self, path: np.ndarray, depth: int):
-        self.path, self.depth = path, depth
-        self.children: dict[int, Node] = {}
-        self.sets: list[int] = []
-        self.shortest, self.longest = 1 << 60, 0
-        self.joined: int | None = None  # one set below, once all below are known to be linked
+    def __init__(self, path: np.ndarray, depth: int, low: int):
+        self.path, self.depth, self.low, self.high = path, depth, low, low + 1
+        self.children: list[Node] = []
 
 
 def build_tree(sets: list[np.ndarray]) -> Node:
-    root = Node(np.zeros(0, dtype=np.uint64), 0)
+    """The prefix tree of sets that are in lexicographic order; only the last child can grow."""
+    root = Node(np.zeros(0, dtype=np.int64), 0, 0)
     for k, s in enumerate(sets):
         node, at = root, 0
         while True:
-            node.shortest, node.longest = min(node.shortest, len(s)), max(node.longest, len(s))
-            if at == len(s):
-                node.sets.append(k)
-                break
-            key = int(s[at])
-            child = node.children.get(key)
-            if child is None:
-                child = node.children[key] = Node(s[at:], at)
-                child.shortest = child.longest = len(s)
-                child.sets.append(k)
+            if not node.children and node is not root:  # the set that ends here becomes a child of its own
+                node.children.append(Node(s[:0], at, node.low))
+            node.high = k + 1
+            last = node.children[-1] if node.children else None
+            if last is None or at == len(s) or not len(last.path) or last.path[0] != s[at]:
+                node.children.append(Node(s[at:], at, k))
                 break
-            n = min(len(child.path), len(s) - at)
-            differs = np.flatnonzero(child.path[:n] != s[at : at + n])
+            n = min(len(last.path), len(s) - at)
+            differs = np.flatnonzero(last.path[:n] != s[at : at + n])
             n = int(differs[0]) if len(differs) else n
-            if n < len(child.path):
-                upper = Node(child.path[:n], at)
-                upper.shortest, upper.longest = child.shortest, child.longest
-                upper.children[int(child.path[n])] = child
-                child.path, child.depth = child.path[n:], at + n
-                node.children[key] = child = upper
-            node, at = child, at + n
+            if n < len(last.path):
+                upper = Node(last.path[:n], at, last.low)
+                upper.high, upper.children = last.high, [last]
+                last.path, last.depth = last.path[n:], at + n
+                node.children[-1] = last = upper
+            node, at = last, at + n
     return root
 
 
-def _all_joined(node: Node, forest: Forest) -> int | None:
-    """A set below ``node`` if all sets below it are linked already."""
-    if node.joined is None:
-        below = node.sets[:]
-        for child in node.children.values():
-            if child.joined is None:
-                return None
-            below.append(child.joined)
-        roots = {forest.find(x) for x in below}
-        if len(roots) == 1:
-            node.joined = below[0]
-    return node.joined
-
-
-def walk(root: Node, sets: list[np.ndarray], k: int, forest: Forest, percent: int) -> None:
-    """Link set ``k`` with every set of the tree that reaches the threshold."""
-    own = sets[k]
-    size = len(own)
-    stack = [(root, 0, 0, False)]
-    while stack:
-        node, overlap, passed, done = stack.pop()
-        if done:
-            _all_joined(node, forest)
-            continue
-        joined = _all_joined(node, forest)
-        if joined is not None and forest.find(joined) == forest.find(k):
-            continue
-        if node.longest * 100 < size * percent or node.shortest * percent > size * 100:
-            continue
-        if len(node.path):
-            at = np.searchsorted(own, node.path)
-            overlap += int((own[np.minimum(at, size - 1)] == node.path).sum())
-            passed = int(np.searchsorted(own, node.path[-1], side="right"))
-        depth = node.depth + len(node.path)
-        # The smallest overlap that the shortest set below would need.
-        needed = -(-percent * (size + node.shortest) // (100 + percent))
-        if overlap + min(size - passed, node.longest - depth) < needed:
-            continue
-        for other in node.sets:
-            if other != k and 100 * overlap >= percent * (size + len(sets[other]) - overlap):
-                forest.union(k, other)
-        stack.append((node, 0, 0, True))
-        stack += [(child, overlap, passed, False) for child in node.children.values()]
-
-
-def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> Forest:
-    """All links among non-empty sets, as a forest over their positions."""
-    forest = Forest()
-    tree = build_tree(sets)
-    for k in range(len(sets)):
-        walk(tree, sets, k, forest, percent)
-    return forest
+class Walkers:
+    """All sets of a unit walking its tree at once, each with the overlap so far."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.count = percent, len(sets)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        elements = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.width = int(elements.max()) + 1
+        # Walkers by element, and every walker's elements in order.
+        order = np.argsort(elements, kind="stable")
+        self.by_element = owner[order]
+        self.first = np.searchsorted(elements[order], np.arange(self.width + 1))
+        self.keys = owner * self.width + elements
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: The class of each set; sets that links reach have equal numbers.
+        self.label = np.arange(len(sets))
+
+    def shared(self, path: np.ndarray) -> np.ndarray:
+        """How many elements of a path each set has."""
+        counts = self.first[path + 1] - self.first[path]
+        at = np.repeat(self.first[path] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return np.bincount(self.by_element[at], minlength=self.count)
+
+    def walk(self, node: Node, who: np.ndarray, overlap: np.ndarray) -> None:
+        stack = [(node, who, overlap)]
+        while stack:
+            node, who, overlap = stack.pop()
+            below = self.sizes[node.low : node.high]
+            shortest, longest = int(below.min()), int(below.max())
+            # A pair is met at its earlier set; other walkers than those of the subtree's class go on.
+            go = who > node.low
+            labels = self.label[node.low : node.high]
+            if (labels == labels[0]).all():
+                go &= self.label[who] != labels[0]
+            size = self.sizes[who]
+            go &= (longest * 100 >= size * self.percent) & (shortest * self.percent <= size * 100)
+            who, overlap = who[go], overlap[go]
+            for k in range(0, len(node.path), STRIDE):
+                if not len(who):
+                    break
+                path = node.path[k : k + STRIDE]
+                overlap = overlap + self.shared(path)[who]
+                passed = np.searchsorted(self.keys, who * self.width + path[-1], side="right") - self.starts[who]
+                rest = np.minimum(self.sizes[who] - passed, longest - node.depth - k - len(path))
+                # The overlap that the shortest set below would need at least.
+                needed = -(-self.percent * (self.sizes[who] + shortest) // (100 + self.percent))
+                go = overlap + rest >= needed
+                who, overlap = who[go], overlap[go]
+            if not len(who):
+                continue
+            if not node.children:
+                own = node.low
+                linked = who[100 * overlap >= self.percent * (self.sizes[who] + self.sizes[own] - overlap)]
+                for label in np.unique(self.label[linked]):
+                    self.label[self.label == label] = self.label[own]
+            stack += [(child, who, overlap) for child in reversed(node.children)]
+
+
+def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """A class number for each of the non-empty sets; sets that links reach have equal ones."""
+    ranks = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(ranks, np.cumsum([len(s) for s in sets])[:-1])
+    order = sorted(range(len(sets)), key=lambda k: parts[k].astype(">u4").tobytes())
+    parts = [parts[k] for k in order]
+    walkers = Walkers(parts, percent)
+    walkers.walk(build_tree(parts), np.arange(len(parts)), np.zeros(len(parts), dtype=np.int64))
+    out = np.empty(len(sets), dtype=np.int64)
+    out[order] = walkers.label
+    return out
 
 
 def _unit_links(percent: int):
@@ -322,8 +350,10 @@ def _unit_links(percent: int):
         unit, ids, sets = None, [], []
 
         def finish() -> pa.RecordBatch:
-            nodes, roots = join_sets(sets, percent).edges() if len(sets) > 1 else ([], [])
-            return edge_batch([ids[x] for x in nodes], [ids[x] for x in roots])
+            heads: dict[int, int] = {}
+            classes = join_sets(sets, percent).tolist() if len(sets) > 1 else []
+            pairs = [(i, head) for i, c in zip(ids, classes, strict=False) if (head := heads.setdefault(c, i)) != i]
+            return edge_batch([i for i, _ in pairs], [head for _, head in pairs])
 
         for batch in batches:
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
