@@ -2,7 +2,7 @@
 
 ``Encoder`` gives exactly the ids and offsets of the tokenizers library for whole
 texts. A byte-level tokenizer looks at each stretch from a space to the next on its
-own, so equal stretches are encoded once and remembered; texts of any other kind
+own, so equal stretches are encoded once and remembered by a worker; texts of any other kind
 of tokenizer go to the library as they are.
 """
 
@@ -16,7 +16,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,13 @@ from tallyscope.session import checkpoint_root, settle
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Remembered stretches per worker; beyond it the memory starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 SLICE_BYTES = 2 << 20
 LIBRARY_BATCH = 4_096
 
+#: A text of these only, without two of them side by side that white space or marks make one.
+_PLAIN = re.compile(r"[\w ,.\n]*")
+_NEIGHBOURS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\n,", "\n.", ",,", "..", ",.", ".,")
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -57,6 +59,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
+        added = {t["id"]: t["content"] for t in parts["added_tokens"]}
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in parts["added_tokens"])
         # Then a space after a character that is no white space always begins a new stretch.
         self.by_stretch = (
@@ -67,65 +70,82 @@ class Encoder:
             and not parts.get("truncation")
             and plain
         )
-        self.kind = np.dtype(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.inner: dict[str, bytes] = {}  # a stretch after a space
-        self.first: dict[str, bytes] = {}  # the start of a text
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        # A byte-level token is written with one character per byte.
+        self.lengths = np.array(
+            [len(added[i].encode()) if i in added else len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64
+        )
+        self.added = list(added.values())
+        self.known: dict[str, bytes] = {}
 
     def _stretches(self, text: str) -> list[str]:
-        return _CUT.split(text) if _RUN.search(text) else text.split(" ")
-
-    def _learn(self, known: dict[str, bytes], new: list[str], prefix: str, spans: bool) -> None:
-        encode = self.library.encode_batch if spans else self.library.encode_batch_fast
-        for k in range(0, len(new), LIBRARY_BATCH):
-            part = new[k : k + LIBRARY_BATCH]
-            for word, e in zip(part, encode([prefix + w for w in part], add_special_tokens=False), strict=True):
-                if spans:
-                    known[word] = np.array(list(chain.from_iterable(e.offsets)), dtype=np.uint32).tobytes()
-                else:
-                    known[word] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def _remember(self, words: list[list[str]], spans: bool) -> None:
-        if len(self.inner) + len(self.first) > REMEMBERED:
-            self.inner.clear()
-            self.first.clear()
-        inner: set[str] = set()
-        for w in words:
-            inner.update(w[1:])
-        self._learn(self.inner, list(inner - self.inner.keys()), " ", spans)
-        self._learn(self.first, list({w[0] for w in words} - self.first.keys()), "", spans)
+        """Pieces of the text that the tokenizer treats each for itself; together they are the text."""
+        if _PLAIN.fullmatch(text) and "_" not in text and not any(x in text for x in _NEIGHBOURS):
+            # Words, and single marks and line feeds that follow a word.
+            marked = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0")
+            return marked.split("\0")
+        if any(x in text for x in self.added):
+            return [text]
+        words = _CUT.split(text) if _RUN.search(text) else text.split(" ")
+        return [words[0], *[f" {w}" for w in words[1:]]]
+
+    def _remember(self, new: list[str]) -> None:
+        """Encode pieces. Those from a space to a character that is none go to the library many in one text."""
+        encode, known, width = self.library.encode_batch_fast, self.known, self.kind.itemsize
+        chained = [w for w in new if len(w) > 1 and w[0] == " " and not w[-1].isspace()]
+        for k in range(0, len(chained), LIBRARY_BATCH):
+            part = chained[k : k + LIBRARY_BATCH]
+            ids = np.array(encode(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.cumsum([len(w.encode()) for w in part])
+            cuts = (width * np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right")).tolist()
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        single = [w for w in new if not (len(w) > 1 and w[0] == " " and not w[-1].isspace())]
+        for k in range(0, len(single), LIBRARY_BATCH):
+            part = single[k : k + LIBRARY_BATCH]
+            for word, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+                known[word] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         if not self.by_stretch:
             found = self.library.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-        words = [self._stretches(t) for t in texts]
-        self._remember(words, False)
-        get = self.inner.__getitem__
-        return [self.first[w[0]] + b"".join(map(get, w[1:])) for w in words]
+        pieces = [self._stretches(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new: set[str] = set()
+        for p in pieces:
+            new.update(p)
+        self._remember(list(new - self.known.keys()))
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
-        """(start, end) in characters of every token of each text."""
+        """(start, end) in characters of every token of each text.
+
+        A token that holds a part of a character spans that character.
+        """
         if not self.by_stretch:
             found = self.library.encode_batch(texts, add_special_tokens=False)
             return [np.array(e.offsets, dtype=np.int64).reshape(-1, 2) for e in found]
-        words = [self._stretches(t) for t in texts]
-        self._remember(words, True)
-        get, out = self.inner.__getitem__, []
-        for w in words:
-            parts = [self.first[w[0]], *map(get, w[1:])]
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 8
-            lengths = np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1
-            lengths[0] -= 1
-            starts = np.cumsum(lengths) - lengths
-            spans = np.frombuffer(b"".join(parts), dtype=np.uint32).reshape(-1, 2).astype(np.int64)
-            out.append(spans + np.repeat(starts, sizes)[:, None])
+        out = []
+        for text, raw in zip(texts, self.ids(texts), strict=True):
+            sizes = self.lengths[np.frombuffer(raw, dtype=self.kind)]
+            ends = np.cumsum(sizes)
+            if not text.isascii():
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                character = np.cumsum((data & 0xC0) != 0x80) - 1
+                out.append(np.stack([character[ends - sizes], character[ends - 1] + 1], axis=1))
+            else:
+                out.append(np.stack([ends - sizes, ends], axis=1))
         return out
 
 
 @cache
-def encoder(path: str, use: str) -> Encoder:
-    """One per worker and use, as ids and spans are remembered apart."""
+def encoder(path: str) -> Encoder:
+    """One per worker."""
     return Encoder(path)
 
 
@@ -179,7 +199,7 @@ def section_token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", tex
 
     @F.arrow_udf("array<struct<section:int,start:bigint,n_chars:bigint,n_tokens:bigint>>")
     def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = encoder(path, "spans")
+        tokens = encoder(path)
         for column in parts:
             texts = column.fill_null("").to_pylist()
             numbers, starts, chars, counts, sizes = [], [], [], [], [0]
@@ -299,7 +319,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        tokens, context, seq = encoder(path, "ids"), TaskContext.get(), 0
+        tokens, context, seq = encoder(path), TaskContext.get(), 0
         end = np.array([end_id], dtype=tokens.kind).tobytes()
         keys, sizes, coded, size = [], [], [], 0
 
