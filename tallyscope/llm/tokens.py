@@ -30,8 +30,8 @@ from tallyscope.session import checkpoint_root, settle
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Remembered stretches per worker; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+#: Pieces after which a worker keeps only those that it meets again.
+REMEMBERED = 400_000
 SLICE_BYTES = 2 << 20
 LIBRARY_BATCH = 4_096
 
@@ -77,7 +77,9 @@ class Encoder:
             [len(added[i].encode()) if i in added else len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64
         )
         self.added = list(added.values())
+        # Pieces seen lately, and those of the time before.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _stretches(self, text: str) -> list[str]:
         """Pieces of the text that the tokenizer treats each for itself; together they are the text."""
@@ -114,11 +116,14 @@ class Encoder:
             return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
         pieces = [self._stretches(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new: set[str] = set()
         for p in pieces:
             new.update(p)
-        self._remember(list(new - self.known.keys()))
+        new -= self.known.keys()
+        again = new & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._remember(list(new - again))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -251,9 +256,16 @@ def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
         extra = (x > 0xFF).astype(np.uint8) + (x > 0xFFFF) + (x > 0xFFFFFF)
         padded = np.zeros(-(-len(x) // 4) * 4, dtype=np.uint8)
         padded[: len(x)] = extra
-        controls.append((padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(1, dtype=np.uint8).tobytes())
-        used = np.arange(4) <= extra[:, None]
-        data.append(x.view(np.uint8).reshape(-1, 4)[used].tobytes())
+        controls.append((padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6).tobytes())
+        ends = np.cumsum(extra + np.uint8(1), dtype=np.int64)
+        out = np.empty(int(ends[-1]), dtype=np.uint8)
+        out[ends - extra - 1] = x & 0xFF
+        for byte in (1, 2, 3):
+            long = np.flatnonzero(extra >= byte)
+            if not len(long):
+                break
+            out[ends[long] - extra[long] + (byte - 1)] = (x[long] >> (8 * byte)) & 0xFF
+        data.append(out.tobytes())
     return b"".join(controls), b"".join(data)
 
 
@@ -263,11 +275,15 @@ def unpack(controls: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     for k in range(0, count, CODE_CHUNK):
         n = min(CODE_CHUNK, count - k)
         lengths = LENGTHS[controls[k // 4 : (k + n + 3) // 4]].ravel()[:n]
-        ends = np.cumsum(lengths)
-        raw = np.zeros((n, 4), dtype=np.uint8)
-        raw[np.arange(4) < lengths[:, None]] = data[at : at + int(ends[-1])]
-        out[k : k + n] = raw.view(np.uint32).ravel()
-        at += int(ends[-1])
+        ends = at + np.cumsum(lengths)
+        starts, part = ends - lengths, out[k : k + n]
+        part[:] = data[starts]
+        for byte in (1, 2, 3):
+            long = np.flatnonzero(lengths > byte)
+            if not len(long):
+                break
+            part[long] |= data[starts[long] + byte].astype(np.uint32) << np.uint32(8 * byte)
+        at = int(ends[-1])
     return out
 
 
