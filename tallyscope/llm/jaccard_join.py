@@ -134,7 +134,7 @@ def cuts(size: int, percent: int, counts: list[int]) -> list[tuple[int, int]]:
     least, most = -(-size * percent // 100), size * 100 // percent
     low, high = apart(size, least, percent), apart(size, most, percent)
     if high == 0:
-        return []  # only equal sets link
+        return [(1, 0)]  # only equal sets link
     lower = next(c for c in counts if c > low)
     upper = next(c for c in counts if c > high)
     return [(c, min(high, c - 1)) for c in counts if lower <= c <= upper]
