@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def in_window(ts: Column, as_of: str, days: int) -> Column:
     return ts >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS")
 
 
+def listed(value: Column, values: Sequence) -> Column:
+    """``value``, which must be one of ``values``: a pivot would drop any other."""
+    message = F.concat(F.lit("not among the listed values: "), F.coalesce(value.cast("string"), F.lit("NULL")))
+    return F.when(value.isin(list(values)), value).otherwise(F.raise_error(message))
+
+
 def number_or(value: Column, default: float = 0.0) -> Column:
     """``value`` as a double, ``default`` where it is missing or no number."""
     return F.coalesce(value.try_cast("double"), F.lit(default))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyscope.functions.groups import attach, exact_median, global_position, one_row, top_k
-from tallyscope.functions.scalars import dot, norm, ratio_band, ratio_direction, squared_distance
+from tallyscope.functions.scalars import dot, listed, norm, ratio_band, ratio_direction, squared_distance
 from tallyscope.operators.features import standardise
 from tallyscope.operators.splits import subsample
 from tallyscope.schemas import KEY
@@ -64,8 +64,10 @@ def similar(points: DataFrame, query, k: int = 10, key: str = KEY) -> DataFrame:
     compared = points.where(F.col(key) != F.lit(query)).withColumn("_q", wanted.scalar())
     length = norm(F.col("vector")) * norm(F.col("_q"))
     score = F.when(length == 0, 0.0).otherwise(F.try_divide(dot(F.col("vector"), F.col("_q")), length))
+    # An unknown query is like nothing.
     return (
-        compared.withColumn("similarity", score)
+        compared.where(F.col("_q").isNotNull())
+        .withColumn("similarity", score)
         .drop("vector", "_q")
         .orderBy(F.desc("similarity"), key)
         .limit(k)
@@ -509,7 +511,8 @@ def label_crosstab(
 ) -> DataFrame:
     """Members per cluster and label; accounts without a label are ``unlabeled``.
 
-    ``margins`` adds the row ``All`` and the column ``All``.
+    ``margins`` adds the row ``All`` and the column ``All``. A label that is not
+    among ``names`` is an error, as it would be missing from the table.
     """
     joined = members.select(key, "cluster").join(
         labels.select(F.col("address").alias(key), "label"), key, "left"
@@ -517,8 +520,9 @@ def label_crosstab(
     marked = joined.select(
         F.col("cluster").cast("string").alias("cluster"), F.coalesce("label", F.lit("unlabeled")).alias("label")
     )
-    counted = marked.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     columns = [*names, "unlabeled"]
+    counted = marked.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("label", listed(F.col("label"), columns))
     if not margins:
         return counted.groupBy("cluster").pivot("label", columns).agg(F.sum("n")).fillna(0)
     cubed = counted.cube("cluster", "label").agg(F.sum("n").alias("n"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyscope.functions.groups import both_sides, keep_keys, top_k
 from tallyscope.functions.scalars import count_where
@@ -82,12 +81,11 @@ def token_activity(
     transfers: DataFrame, limit: int = 10, accounts: DataFrame | None = None
 ) -> DataFrame:
     """Distinct tokens per account, and its most transferred tokens by rank."""
-    # The window holds an account's distinct tokens, not its transfers.
-    counted = token_counts(transfers, accounts).withColumn(
-        "unique_tokens", F.count("token_address").over(Window.partitionBy(KEY))
-    )
+    # Counted by aggregate and cut by group limit, so no task needs all tokens of an account.
+    counted = token_counts(transfers, accounts)
+    tokens = counted.groupBy(KEY).agg(F.count("token_address").alias("unique_tokens"))
     best = top_k(counted, [KEY], [F.desc("transfer_count"), F.asc("token_address")], limit)
-    return best.select(
+    return best.join(tokens, KEY).select(
         KEY, "unique_tokens", "rank", "token_address", "transfer_count", "erc20_count", "erc721_count"
     )
 

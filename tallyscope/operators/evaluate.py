@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyscope.functions.groups import one_row
+from tallyscope.functions.scalars import listed
 
 F1_TARGET = 0.85
 
@@ -101,8 +102,9 @@ def macro_f1(predictions: DataFrame, *by: str) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame, classes: Sequence) -> DataFrame:
-    """Actual classes as rows, predicted classes as columns."""
+    """Actual classes as rows, predicted classes as columns; a predicted class must be listed."""
     counted = confusion_counts(predictions)
+    counted = counted.withColumn("predicted", listed(F.col("predicted"), classes))
     return counted.groupBy("label").pivot("predicted", list(classes)).agg(F.sum("n")).fillna(0)
 
 
@@ -140,16 +142,16 @@ def calibration(predictions: DataFrame, probability: str, bins: int = 10, min_po
 
 
 def regression_check(baseline: DataFrame, current: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Whether a metric fell by more than the tolerated share of its baseline."""
+    """Whether a metric is missing or fell by more than the tolerated share of its baseline."""
     base = baseline.select("metric", F.col("value").alias("baseline"))
     now = current.select("metric", F.col("value").alias("current"))
     change = F.try_divide(F.col("current") - F.col("baseline"), F.col("baseline"))
-    return base.join(now, "metric").select(
+    return base.join(now, "metric", "left").select(
         "metric",
         "baseline",
         "current",
         change.alias("change"),
-        (F.coalesce(change, F.lit(0.0)) < -tolerance).alias("failed"),
+        (F.col("current").isNull() | (F.coalesce(change, F.lit(0.0)) < -tolerance)).alias("failed"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.groups import best_row, keep_keys
-from tallyscope.functions.scalars import number_or, safe_divide
+from tallyscope.functions.scalars import in_window, number_or, safe_divide
 from tallyscope.schemas import KEY, LABEL_PRIORITY, OTHER_PRIORITY, PROTOCOLS, addresses
 
 # The rule names written to the label table.
@@ -33,6 +33,11 @@ def _senders(df: DataFrame, excluded: Sequence[str]) -> DataFrame:
     return df.withColumn("address", sender).where(~sender.isin(list(excluded)))
 
 
+def recent(df: DataFrame, as_of: str | None, days: int | None) -> DataFrame:
+    """Rows of the ``days`` days before ``as_of`` or later; all rows without them. The bound reaches the scan."""
+    return df if as_of is None or days is None else df.where(in_window(F.col("block_timestamp"), as_of, days))
+
+
 # ------------------------------------------------------------ statistics
 
 
@@ -61,15 +66,17 @@ def call_stats(
     )
 
 
-def sender_stats(transactions: DataFrame, excluded: Sequence[str] = PROTOCOLS) -> DataFrame:
+def sender_stats(
+    transactions: DataFrame, excluded: Sequence[str] = PROTOCOLS, as_of: str | None = None, days: int | None = None
+) -> DataFrame:
     """Sent transactions, value and transactions per active day."""
-    days = (
-        _senders(transactions, excluded)
+    active = (
+        _senders(recent(transactions, as_of, days), excluded)
         .groupBy("address", F.to_date("block_timestamp").alias("_day"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(number_or(F.col("value_eth"))).alias("_value"))
     )
     return (
-        days.groupBy("address")
+        active.groupBy("address")
         .agg(
             F.sum("_n").alias("total_tx"),
             F.sum("_value").alias("total_eth"),
@@ -81,13 +88,17 @@ def sender_stats(transactions: DataFrame, excluded: Sequence[str] = PROTOCOLS) -
 
 
 def block_stats(
-    transactions: DataFrame, dex: Sequence[str], excluded: Sequence[str] = PROTOCOLS
+    transactions: DataFrame,
+    dex: Sequence[str],
+    excluded: Sequence[str] = PROTOCOLS,
+    as_of: str | None = None,
+    days: int | None = None,
 ) -> DataFrame:
     """Blocks with several transactions around a router, and with several routers."""
     routed = F.when(F.lower("to_address").isin(list(dex)), F.lower("to_address"))
     # One row per account, block and router (or none), then per block.
     per_router = (
-        _senders(transactions, excluded)
+        _senders(recent(transactions, as_of, days), excluded)
         .groupBy("address", "block_number", routed.alias("_router"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -155,21 +166,23 @@ def label_dex_heavy_transactions(
     *,
     min_tx: int = 50,
     min_share: float = 0.70,
-    limit: int = 20_000,
+    limit: int | None = None,
     excluded: Sequence[str] = PROTOCOLS,
+    as_of: str | None = None,
+    days: int | None = None,
 ) -> DataFrame:
-    """The same rule on sent transactions, strongest ``limit`` accounts."""
+    """The same rule on sent transactions; with ``limit`` only the strongest accounts."""
     routed = F.lower("to_address").isin(list(dex))
     stats = (
-        _senders(transactions, excluded)
+        _senders(recent(transactions, as_of, days), excluded)
         .groupBy("address")
         .agg(F.count(F.lit(1)).alias("total_tx"), F.count(F.when(routed, 1)).alias("dex_tx"))
         .where(F.col("total_tx") >= min_tx)
         .withColumn("dex_ratio", safe_divide(F.col("dex_tx"), F.col("total_tx")))
         .where(F.col("dex_ratio") >= min_share)
-        .orderBy(F.desc("dex_ratio"), "address")
-        .limit(limit)
     )
+    if limit is not None:
+        stats = stats.orderBy(F.desc("dex_ratio"), "address").limit(limit)
     return _labelled(stats, "defi_farmer", WAREHOUSE_SOURCES["defi_farmer"], "total_tx", "dex_tx", "dex_ratio")
 
 
@@ -178,10 +191,16 @@ def label_mev_bots(stats: DataFrame, **limits) -> DataFrame:
 
 
 def trace_candidates(
-    traces: DataFrame, dex: Sequence[str], *, min_calls: int = 20, excluded: Sequence[str] = PROTOCOLS
+    traces: DataFrame,
+    dex: Sequence[str],
+    *,
+    min_calls: int = 20,
+    excluded: Sequence[str] = PROTOCOLS,
+    as_of: str | None = None,
+    days: int | None = None,
 ) -> DataFrame:
     """Accounts with many internal router calls."""
-    calls = traces.where((F.col("call_type") == "call") & F.col("to_address").isin(list(dex)))
+    calls = recent(traces, as_of, days).where((F.col("call_type") == "call") & F.col("to_address").isin(list(dex)))
     return (
         calls.where(~F.col("from_address").isin(list(excluded)))
         .groupBy(F.col("from_address").alias("address"))
@@ -191,13 +210,20 @@ def trace_candidates(
 
 
 def label_mev_bots_with_traces(
-    stats: DataFrame, traces: DataFrame, dex: Sequence[str], *, limit: int = 10_000,
-    min_calls: int = 20, **limits,
+    stats: DataFrame,
+    traces: DataFrame,
+    dex: Sequence[str],
+    *,
+    min_calls: int = 20,
+    excluded: Sequence[str] = PROTOCOLS,
+    as_of: str | None = None,
+    days: int | None = None,
+    **limits,
 ) -> DataFrame:
-    """Block patterns or many router traces, at most ``limit`` by address."""
+    """Block patterns or many router traces."""
     found = stats.where(is_mev_bot(**limits)).select("address")
-    found = found.union(trace_candidates(traces, dex, min_calls=min_calls).select("address")).distinct()
-    return _labelled(found.orderBy("address").limit(limit), "mev_bot", WAREHOUSE_SOURCES["mev_bot"])
+    traced = trace_candidates(traces, dex, min_calls=min_calls, excluded=excluded, as_of=as_of, days=days)
+    return _labelled(found.union(traced.select("address")).distinct(), "mev_bot", WAREHOUSE_SOURCES["mev_bot"])
 
 
 def label_whales(stats: DataFrame, source: str | None = None, **limits) -> DataFrame:
@@ -206,9 +232,11 @@ def label_whales(stats: DataFrame, source: str | None = None, **limits) -> DataF
     return _labelled(found, "hodler", source, "total_tx", "total_eth", "tx_per_day")
 
 
-def label_top_whales(stats: DataFrame, *, limit: int = 10_000, **limits) -> DataFrame:
-    """The same rule, largest ``limit`` accounts by value."""
-    top = stats.where(is_whale(**limits)).orderBy(F.desc("total_eth"), "address").limit(limit)
+def label_top_whales(stats: DataFrame, *, limit: int | None = None, **limits) -> DataFrame:
+    """The same rule; with ``limit`` only the largest accounts by value."""
+    top = stats.where(is_whale(**limits))
+    if limit is not None:
+        top = top.orderBy(F.desc("total_eth"), "address").limit(limit)
     return _labelled(top, "hodler", WAREHOUSE_SOURCES["hodler"], "total_tx", "total_eth", "tx_per_day")
 
 

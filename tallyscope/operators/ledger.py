@@ -95,18 +95,23 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df
 
 
+def _lowered(accounts: DataFrame) -> DataFrame:
+    """Addresses are compared in lower case, however the list writes them."""
+    return accounts.select(F.lower(F.col(accounts.columns[0])).alias(KEY))
+
+
 def explode_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row per transaction and side; a transfer to oneself counts twice."""
     named = _renamed(transactions, {"value_eth": "value", "method_id": "input"})
-    return keep_keys(both_sides(named), accounts, KEY)
+    return keep_keys(both_sides(named), _lowered(accounts), KEY)
 
 
 def explode_token_transfers(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row per distinct transfer and participating account."""
     named = _renamed(transfers, {"raw_value": "value"})
-    return keep_keys(both_sides(named, once=True), accounts, KEY).dropDuplicates()
+    return keep_keys(both_sides(named, once=True), _lowered(accounts), KEY).dropDuplicates()
 
 
 def explode_contract_calls(calls: DataFrame, accounts: DataFrame) -> DataFrame:
     """One row per distinct call and participating account."""
-    return keep_keys(both_sides(calls, once=True), accounts, KEY).dropDuplicates()
+    return keep_keys(both_sides(calls, once=True), _lowered(accounts), KEY).dropDuplicates()

@@ -120,7 +120,8 @@ def merge_sources(sources: Sequence[DataFrame]) -> DataFrame:
 def counts_by_source(registry: DataFrame) -> DataFrame:
     """Registry size per source, with the total."""
     counted = registry.groupBy("source").agg(F.count(F.lit(1)).alias("addresses"))
-    total = registry.agg(F.count(F.lit(1)).alias("addresses"))
+    # From the counts, which share one exchange, not from the registry again.
+    total = counted.agg(F.coalesce(F.sum("addresses"), F.lit(0)).alias("addresses"))
     return counted.unionByName(total.select(F.lit("total_registry_size").alias("source"), "addresses"))
 
 
@@ -133,19 +134,19 @@ def callee_counts(calls: DataFrame) -> DataFrame:
     return calls.groupBy("to_address").agg(F.count(F.lit(1)).alias("interaction_count"))
 
 
-def top_unknown(calls: DataFrame, registry: DataFrame, n: int) -> DataFrame:
-    """The most called contracts that the registry does not know.
+def unknown_contracts(calls: DataFrame, registry: DataFrame) -> DataFrame:
+    """Called contracts that the registry does not know, with their calls.
 
     Calls are counted first, so the lookup sees one row per contract. (An anti
     join would be pushed below the count and meet every call of a hot contract.)
     """
     counted = flag_keys(callee_counts(calls), registry.select("address"), "to_address", "_known")
-    return (
-        counted.where(~F.col("_known"))
-        .drop("_known")
-        .orderBy(F.desc("interaction_count"), "to_address")
-        .limit(n)
-    )
+    return counted.where(~F.col("_known")).drop("_known")
+
+
+def top_unknown(calls: DataFrame, registry: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most called contracts that the registry does not know."""
+    return unknown_contracts(calls, registry).orderBy(F.desc("interaction_count"), "to_address").limit(n)
 
 
 def coverage(calls: DataFrame, registry: DataFrame) -> DataFrame:

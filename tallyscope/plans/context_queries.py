@@ -66,7 +66,7 @@ RESOLVED_SQL = f"""SELECT 'c' || k AS address, {_NAME} AS label, {_KIND} AS cate
 
 
 def resolved(v: Views) -> DataFrame:
-    unknown = registry.top_unknown(v.ci, v.registry, 500)
+    unknown = registry.unknown_contracts(v.ci, v.registry)
     return registry.resolved_name_rows(unknown.select(F.col("to_address").alias("address")), v.contract_names)
 
 

@@ -184,9 +184,19 @@ def _(v: Views):
     return built(v)
 
 
+#: The warehouse rules see the last ten days of the month.
+WINDOW = {"as_of": "2024-01-31", "days": 10}
+RECENT = "block_timestamp >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAYS"
+
+
+def _recent(sql: str) -> str:
+    return sql.replace("FROM tx", "FROM rtx").replace("FROM ci", "FROM rci")
+
+
 @query(
     "l9_warehouse_labels",
-    f"""{STATS}, {TRACES},
+    f"""rtx AS (SELECT * FROM tx WHERE {RECENT}), rci AS (SELECT * FROM ci WHERE {RECENT}),
+    {_recent(STATS)}, {_recent(TRACES)},
     mev AS (SELECT address FROM bs WHERE {MEV} UNION SELECT address FROM tr),
     all_labels AS (SELECT 0 AS p, {named('mev_bot', 'mev_pattern_heuristic')}, NULL AS total_tx, NULL AS dex_tx,
         NULL AS dex_ratio, NULL AS total_eth, NULL AS tx_per_day FROM mev
@@ -194,7 +204,7 @@ def _(v: Views):
         FROM (SELECT from_address AS address, count(*) AS calls,
             count(*) FILTER (CAST(substr(to_address, 2) AS INT) < 20) AS dex_calls,
             avg(CASE WHEN CAST(substr(to_address, 2) AS INT) < 20 THEN 1 ELSE 0 END) AS dex_share
-            FROM tx WHERE {EXCLUDED} GROUP BY 1) WHERE {FARMER}
+            FROM rtx WHERE {EXCLUDED} GROUP BY 1) WHERE calls >= 15 AND dex_share >= 0.25
         UNION ALL SELECT 5, {named('hodler', 'whale_heuristic')}, total_tx, NULL, NULL, total_eth, tx_per_day
         FROM ss WHERE {WHALE})
     SELECT address, label, source, total_tx, dex_tx, {r('dex_ratio', 'dex_ratio')}, {r('total_eth', 'total_eth')},
@@ -206,10 +216,13 @@ def _(v: Views):
     dex = book("c")["dex"]
     frames = [
         labels.label_mev_bots_with_traces(
-            blocks(v), v.source_traces.where(~F.col("from_address").isin(PROTOCOLS)), dex, min_calls=15, **LIMITS["mev_bot"]
+            labels.block_stats(v.tx, book("w")["dex"], PROTOCOLS, **WINDOW),
+            v.source_traces, dex, min_calls=15, excluded=PROTOCOLS, **WINDOW, **LIMITS["mev_bot"],
+        ),
+        labels.label_dex_heavy_transactions(
+            v.tx, book("w")["dex"], min_tx=15, min_share=0.25, excluded=PROTOCOLS, **WINDOW
         ),
-        labels.label_dex_heavy_transactions(v.tx, book("w")["dex"], excluded=PROTOCOLS, **LIMITS["defi_farmer"]),
-        labels.label_top_whales(senders(v), **LIMITS["hodler"]),
+        labels.label_top_whales(labels.sender_stats(v.tx, PROTOCOLS, **WINDOW), **LIMITS["hodler"]),
     ]
     return labels.resolve_labels(frames, PROTOCOLS)
 

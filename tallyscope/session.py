@@ -36,7 +36,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    # Only an unconfigured (local) session falls back to a scratch folder.
+    # A folder of one machine is seen by all tasks only in a local session.
+    if configured is None and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tallyscope-"))
 
 

@@ -58,19 +58,19 @@ def _coerced(field: T.StructField, given: T.DataType) -> Column:
     if isinstance(field.dataType, T.StringType):
         return F.coalesce(value.cast("string"), F.lit(""))
     if isinstance(field.dataType, T.TimestampType):
-        return value.cast("timestamp")
+        return value.try_cast("timestamp")
     if isinstance(given, T.StringType):
         value = value.try_cast("double")
     if isinstance(given, T.BooleanType):
         value = value.cast("int")
-    return F.coalesce(value.cast(field.dataType), F.lit(0).cast(field.dataType))
+    return F.coalesce(value.try_cast(field.dataType), F.lit(0).cast(field.dataType))
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """A raw table in its stored layout.
 
-    Known columns only; booleans become 0/1, what is no number becomes 0, and
-    missing text becomes empty.
+    Known columns only; booleans become 0/1, what is no number or out of range
+    becomes 0, what is no time becomes NULL, and missing text becomes empty.
     """
     if table not in RAW_LAYOUTS:
         raise ValueError(f"unknown table {table}; known are {sorted(RAW_LAYOUTS)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_once(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Write a result unless it is there already, so a restarted run goes on."""
-    writer = df.write.mode("ignore")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    """Write a result unless it is there complete, so a restarted run goes on.
+
+    What a broken run left, a folder without the mark of success, is replaced.
+    """
+    if not _exists(df.sparkSession, f"{path}/_SUCCESS"):
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _order(version: str) -> list[tuple]:
+    """Versions compare by their numbers, so 10 follows 9."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", version) if x]
+
+
 def upsert_features(df: DataFrame, path: str, version: str) -> DataFrame:
     """Replace the rows of the given accounts in the feature table.
 
@@ -35,15 +46,18 @@ def upsert_features(df: DataFrame, path: str, version: str) -> DataFrame:
     current = latest_version(spark, path)
     if df.isEmpty():
         return spark.read.parquet(current) if current else df
+    if current is not None and _order(version) <= _order(current.rsplit("version=", 1)[-1]):
+        raise ValueError(f"version {version} is not newer than {current}")
     merged = storable_features(df) if current is None else upsert(
         spark.read.parquet(current), storable_features(df)
     )
-    merged.write.mode("error").parquet(f"{path}/version={version}")
+    # An unfinished folder of this version is what a broken run left.
+    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
     return spark.read.parquet(f"{path}/version={version}")
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the newest finished version, by name."""
+    """Folder of the newest finished version, by number."""
     if not _exists(spark, path):
         return None
     jvm = spark.sparkContext._jvm
@@ -51,7 +65,8 @@ def latest_version(spark: SparkSession, path: str) -> str | None:
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(where)]
     done = [n for n in names if n.startswith("version=") and _exists(spark, f"{path}/{n}/_SUCCESS")]
-    return f"{path}/{max(done)}" if done else None
+    newest = max(done, key=lambda n: _order(n.removeprefix("version=")), default=None)
+    return f"{path}/{newest}" if newest else None
 
 
 def append_features(df: DataFrame, path: str) -> DataFrame:
