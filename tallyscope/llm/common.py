@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = __name__.split(".")[0]
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _READY: set[str] = set()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,10 @@ def ready(spark: SparkSession) -> None:
     A job started with the package on its path (``--py-files``, an installed
     wheel, PYTHONPATH) needs nothing. Otherwise Spark ships a zip of the source.
     """
+    # Rows here are whole texts: small batches bound what a worker holds at a time.
+    for setting, most in BATCH.items():
+        if int(spark.conf.get(setting, str(most + 1))) > most:
+            spark.conf.set(setting, str(most))
     context = spark.sparkContext
     if context.applicationId in _READY:
         return
