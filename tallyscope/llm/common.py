@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -69,6 +71,26 @@ def ready(spark: SparkSession) -> None:
     _READY.add(context.applicationId)
 
 
+def lean(batches_to_batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that hands free memory back to the system when a task ends.
+
+    Spark keeps a worker for later tasks; without this each would hold on to the
+    most that any task of any earlier stage needed.
+    """
+
+    @wraps(batches_to_batches)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from batches_to_batches(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def byte_view(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; NULL is empty."""
     rows = column.fill_null("").cast(pa.large_binary())

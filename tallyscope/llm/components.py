@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.groups import attach
-from tallyscope.llm.common import ready
+from tallyscope.llm.common import lean, ready
 from tallyscope.session import settle
 
 
@@ -57,6 +57,7 @@ def edge_batch(nodes: list[int], roots: list[int]) -> pa.RecordBatch:
 def contract_locally(edges: DataFrame, rows: int = 500_000) -> DataFrame:
     """A spanning forest of every ``rows`` edges of a task, as edges (a, b) with b < a."""
 
+    @lean
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, seen = Forest(), 0
         for batch in batches:

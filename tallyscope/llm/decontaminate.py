@@ -20,12 +20,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import LOWER, byte_view, query, ready, table
+from tallyscope.llm.common import LOWER, byte_view, lean, query, ready, table
 from tallyscope.session import settle
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 200_000
 
 #: Lower case, and every byte that no word holds as a space.
 WORDS = bytes(LOWER[b] if chr(b).isalnum() or b >= 0x80 else 32 for b in range(256))
@@ -140,6 +140,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
 
 def _scanner(shared: Broadcast):
     @F.arrow_udf(FOUND)
+    @lean
     def scan(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans, ids in parts:
             yield _scan(shared.value, texts, spans.to_pylist(), ids.to_pylist())

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.functions.groups import attach, drop_keys, is_small
-from tallyscope.llm.common import LOWER, byte_view, mix, query, ready, table
+from tallyscope.llm.common import LOWER, byte_view, lean, mix, query, ready, table
 from tallyscope.llm.components import connected_components, edge_batch
 from tallyscope.session import settle
 
 WORDS = 3
 #: 100 * intersection >= 90 * union.
 PERCENT = 90
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 TILE_SETS, TILE_ELEMENTS = 400, 2_000_000
 #: Elements of a path between two looks at the bounds.
 STRIDE = 48
@@ -191,6 +191,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _candidate_rows(percent: int, words: int):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a signature and the smallest document that has it; 1: a candidate edge; 2: a set's size."""
         for batch in batches:
@@ -220,6 +221,7 @@ def _candidate_rows(percent: int, words: int):
     return rows
 
 
+@lean
 def _same_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (signature, document) to edges from the first document of a signature."""
     last, first = None, None
@@ -346,6 +348,7 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def _unit_links(percent: int):
+    @lean
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids, sets = None, [], []
 
@@ -378,6 +381,7 @@ def _verified(reps: DataFrame, groups: DataFrame, percent: int, words: int) -> D
     placed = settle(attach(groups, tiles, "component").withColumn("tile", tile).select("node", "component", "tiles", "tile"))
 
     @F.arrow_udf("binary")
+    @lean
     def packed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())
@@ -426,9 +430,10 @@ def jaccard_classes(
         .mapInArrow(_same_signature, "a bigint, b bigint")
     )
     sizes = rows.where("kind = 2").groupBy(F.col("a").alias("_rep")).agg(F.max("b").alias("n_shingles"))
-    candidates = connected_components(rows.where("kind = 1").select("a", "b").union(shared))
+    # Settled, so that a task never feeds one Python worker from another.
+    candidates = connected_components(rows.where("kind = 1").select("a", "b").union(settle(shared)))
     candidates = candidates.join(sizes.withColumnRenamed("n_shingles", "size"), F.col("node") == F.col("_rep")).drop("_rep")
-    links = connected_components(_verified(reps, settle(candidates), percent, words))
+    links = connected_components(settle(_verified(reps, settle(candidates), percent, words)))
 
     found = sizes.join(links, F.col("_rep") == F.col("node"), "left").drop("node")
     out = attach(members.where(F.col("_rep").isNotNull()), settle(found), "_rep")

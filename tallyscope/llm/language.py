@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import query, ready, table
+from tallyscope.llm.common import lean, query, ready, table
 
 BUCKET_BITS = 15
 LENGTHS = (1, 2, 3)
 SAMPLE = 8_000
 SMOOTHING = 0.5
-CHUNK = 500_000
+CHUNK = 100_000
 UNDETERMINED = "und"
 #: Below this posterior probability a language filter rejects.
 MIN_SCORE = 0.3
@@ -113,6 +113,7 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     place = F.pmod(F.xxhash64(F.lit("learn"), "_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
     chosen = rows.where(place < share).select("lang", "text")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = Grams(), {}
         for batch in batches:
@@ -142,6 +143,7 @@ def scorer(spark: SparkSession, model: LanguageModel):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
+    @lean
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, grams = shared.value, Grams()
         for texts in parts:
