@@ -245,13 +245,23 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Minimum, maximum, mean and population deviation, one row per feature."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "feature", "value"
-    )
-    return long.groupBy("feature").agg(
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
+    """Minimum, maximum, mean and population deviation, one row per feature; none for an empty table.
+
+    One wide aggregate, of which only the single result row is turned into long form.
+    """
+    values = {c: F.col(c).cast("double") for c in columns}
+    wide = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+                F.avg(x).alias("mean"),
+                F.stddev_pop(x).alias("std"),
+            ).alias(c)
+            for c, x in values.items()
+        ],
     )
+    stats = wide.where("_rows > 0").select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("_s"))
+    return stats.select("_s.*")
