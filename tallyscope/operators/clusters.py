@@ -9,6 +9,7 @@ scalar-subquery value, so no join moves the points.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import attach, exact_median, global_position, one_row, top_k
+from tallyscope.functions.groups import attach, exact_median, global_position, keep_keys, one_row, top_k
 from tallyscope.functions.scalars import dot, listed, norm, ratio_band, ratio_direction, squared_distance
 from tallyscope.operators.features import standardise
 from tallyscope.operators.splits import subsample
@@ -29,6 +30,8 @@ from tallyscope.schemas import KEY
 from tallyscope.session import settle
 
 NOISE = -1
+#: Cuts by eight of a cell's sides after which boxes become single places.
+LAST_CUT = 8
 
 
 def as_vectors(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -125,67 +128,151 @@ def assign_nearest(points: DataFrame, centroids: DataFrame) -> DataFrame:
 def density_clusters(
     points: DataFrame, *, eps: float, min_samples: int, min_cluster_size: int, key: str = KEY
 ) -> DataFrame:
-    """Density clusters of 2-D points on a grid of side ``eps``.
-
-    A cell with at least ``min_samples`` points is dense; dense cells that touch
-    (also by a corner) form one cluster; points elsewhere and clusters below
-    ``min_cluster_size`` are noise (-1). Clusters are numbered by falling size,
-    then by smallest key. Points are only counted per cell, never paired, so a
-    crowded cell costs no more than its rows.
+    """Density clusters of 2-D points: the connected core points.
+
+    A point is core if at least ``min_samples`` points, itself included, lie
+    within ``eps`` of it. Core points within ``eps`` of each other share a
+    cluster. Other points, vectors with a missing or non-finite component and
+    clusters below ``min_cluster_size`` are noise (-1). Clusters are numbered by
+    falling size, then by smallest key. The result is exact and does not depend
+    on where the grid lies.
+
+    The grid only saves comparisons: a cell's diagonal is below ``eps``, so a cell
+    of ``min_samples`` points is all core and linked. Only the few points of
+    other cells are compared, each with the rows around it, and cells are linked
+    through nested boxes, so a crowded cell costs no more than its rows.
     """
-    placed = points.withColumn("_x", F.floor(F.col("vector")[0] / eps)).withColumn(
-        "_y", F.floor(F.col("vector")[1] / eps)
-    )
-    cells = placed.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_min"))
-    dense = settle(cells.where(F.col("_n") >= min_samples))
-    component = _connected_cells(dense)
+    # A hair smaller, so that rounding cannot put two points of a cell further apart than eps.
+    side = eps / math.sqrt(2.0) * (1 - 1e-9)
+    x, y = [F.col("vector")[i].cast("double") + F.lit(0.0) for i in (0, 1)]
+    placed = points.drop("cluster").withColumn("_px", x).withColumn("_py", y)
+    finite = (F.abs("_px") < float("inf")) & (F.abs("_py") < float("inf"))
+    cell = _named(F.floor(F.col("_px") / side), F.floor(F.col("_py") / side))
+    placed = placed.withColumn("_cell", F.when(finite, cell))
+    flagged = settle(_with_core(placed, eps, side, min_samples))
+    core = flagged.where("_core")
+    cells = settle(core.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_min")))
+    component = _connected(cells, _linked_cells(core, eps, side))
     sizes = component.groupBy("_root").agg(F.sum("_n").alias("size"), F.min("_min").alias("_first"))
     kept = sizes.where(F.col("size") >= min_cluster_size)
     ranked = global_position(kept, F.col("size").desc(), F.col("_first").asc())
-    numbers = ranked.select(
-        _cell_name("_root.x", "_root.y").alias("_of"), (F.col("position") - 1).cast("int").alias("cluster")
-    )
+    numbers = ranked.select("_root", (F.col("position") - 1).cast("int").alias("cluster"))
     # A component may hold most cells, and a cell most points.
-    cells_of = attach(component.withColumn("_of", _cell_name("_root.x", "_root.y")), numbers, "_of")
-    side = settle(
-        cells_of.where(F.col("cluster").isNotNull()).select(_cell_name("_x", "_y").alias("_cell"), "cluster")
-    )
-    joined = attach(placed.drop("cluster").withColumn("_cell", _cell_name("_x", "_y")), side, "_cell")
-    return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE))).drop("_x", "_y", "_cell")
+    numbered = settle(attach(component, numbers, "_root").select("_cell", "cluster"))
+    joined = attach(flagged, numbered.where(F.col("cluster").isNotNull()), "_cell")
+    in_cluster = F.when(F.col("_core"), F.col("cluster"))
+    return joined.withColumn("cluster", F.coalesce(in_cluster, F.lit(NOISE))).drop("_px", "_py", "_cell", "_core")
+
 
+def _named(x: Column, y: Column) -> Column:
+    return F.concat_ws(":", x.cast("string"), y.cast("string"))
 
-def _cell_name(x: str, y: str) -> Column:
-    return F.concat_ws(":", F.col(x).cast("string"), F.col(y).cast("string"))
+
+def _around(reach: int) -> Column:
+    """The cells up to ``reach`` away from ``_cell``, itself included."""
+    at = F.split("_cell", ":")
+    steps = range(-reach, reach + 1)
+    near = [
+        _named(at[0].cast("bigint") + F.lit(dx), at[1].cast("bigint") + F.lit(dy))
+        for dx in steps
+        for dy in steps
+    ]
+    return F.array(*near)
 
 
-def _connected_cells(dense: DataFrame) -> DataFrame:
-    """Smallest cell of the component of every dense cell.
+def _with_core(placed: DataFrame, eps: float, side: float, min_samples: int) -> DataFrame:
+    """Whether each point is core, as ``_core``.
+
+    Places in cells below ``min_samples`` points are listed beside the cells around
+    them. Such a list is bounded, so every point is compared with few places.
+    """
+    counts = settle(placed.where(F.col("_cell").isNotNull()).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")))
+    sparse = counts.where(F.col("_n") < min_samples).select("_cell")
+    places = keep_keys(placed.select("_cell", "_px", "_py"), settle(sparse), "_cell").distinct()
+    listed = settle(
+        places.select(F.explode(_around(2)).alias("_cell"), F.struct("_px", "_py").alias("_place"))
+        .groupBy("_cell")
+        .agg(F.collect_list("_place").alias("_places"))
+    )
+    gap = lambda q: (q["_px"] - F.col("_px")) ** 2 + (q["_py"] - F.col("_py")) ** 2
+    beside = attach(placed.select("_cell", "_px", "_py"), listed, "_cell")
+    near = beside.select(F.explode(F.filter("_places", lambda q: gap(q) <= eps * eps)).alias("_place"))
+    crowded = near.groupBy("_place").agg(F.count(F.lit(1)).alias("_near")).where(F.col("_near") >= min_samples)
+    spot = _named(F.col("_px"), F.col("_py"))
+    found = settle(crowded.select("_place.*").select(spot.alias("_spot"), F.lit(True).alias("_found")))
+    counted = attach(placed, counts, "_cell")
+    lone = counted.withColumn("_spot", F.when(F.col("_n") < min_samples, spot))
+    core = F.coalesce("_found", F.col("_n") >= min_samples, F.lit(False))
+    return attach(lone, found, "_spot").withColumn("_core", core).drop("_n", "_spot", "_found")
+
+
+def _linked_cells(core: DataFrame, eps: float, side: float) -> DataFrame:
+    """Pairs of different cells with core points within ``eps``, in both directions.
+
+    The boxes around a cell's core points are compared first. A pair of boxes that
+    lies wholly within or beyond ``eps`` is decided; the rest is cut into smaller
+    boxes, unless its cells are linked already. The last boxes are single places.
+    """
+    bounds = [f(f"_p{c}").alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+
+    def boxes(level: int) -> DataFrame:
+        cut = [F.col(c) if level > LAST_CUT else F.floor(F.col(c) / (side / 8**level)) for c in ("_px", "_py")]
+        up = [F.floor(F.col(c) / (side / 8 ** (level - 1))) for c in ("_px", "_py")]
+        return core.groupBy(
+            F.col("_cell").alias("cell"), _named(*up).alias("parent"), _named(*cut).alias("box")
+        ).agg(*bounds)
+
+    def decide(pairs: DataFrame) -> DataFrame:
+        a, b = F.col("a"), F.col("b")
+        least = [F.greatest(F.lit(0.0), a[f"{c}0"] - b[f"{c}1"], b[f"{c}0"] - a[f"{c}1"]) for c in "xy"]
+        most = [F.greatest(a[f"{c}1"] - b[f"{c}0"], b[f"{c}1"] - a[f"{c}0"]) for c in "xy"]
+        limit = F.lit(eps * eps)
+        held = pairs.where(least[0] ** 2 + least[1] ** 2 <= limit)
+        return held.select(
+            "one", "two", a["box"].alias("left"), b["box"].alias("right"), (most[0] ** 2 + most[1] ** 2 <= limit).alias("within")
+        )
+
+    box = F.struct("box", "x0", "x1", "y0", "y1")
+    whole = settle(core.groupBy(F.col("_cell").alias("box")).agg(*bounds))
+    near = whole.select(F.col("box").alias("_cell"), box.alias("a")).select(
+        F.col("_cell").alias("one"), "a", F.explode(_around(2)).alias("two")
+    )
+    met = near.where(F.col("one") < F.col("two")).join(whole.select(F.col("box").alias("two"), box.alias("b")), "two")
+    decided, links, level = settle(decide(met)), [], 0
+    while True:
+        linked = decided.where("within").select("one", "two").distinct()
+        links.append(linked)
+        open_pairs = decided.where(~F.col("within")).join(linked, ["one", "two"], "left_anti").drop("within")
+        level += 1
+        if level > LAST_CUT + 1 or open_pairs.isEmpty():
+            break
+        parts = boxes(level)
+        first = parts.select(F.col("cell").alias("one"), F.col("parent").alias("left"), box.alias("a"))
+        second = parts.select(F.col("cell").alias("two"), F.col("parent").alias("right"), box.alias("b"))
+        decided = settle(decide(open_pairs.join(first, ["one", "left"]).join(second, ["two", "right"])))
+    found = reduce(DataFrame.unionByName, links)
+    ways = F.array(F.struct(F.col("one").alias("_cell"), F.col("two").alias("_other")), F.struct(F.col("two").alias("_cell"), F.col("one").alias("_other")))
+    return found.select(F.explode(ways).alias("_way")).select("_way.*")
+
+
+def _connected(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """Smallest cell of the component of every cell, as ``_root``.
 
     Each round takes the smallest root among a cell and its neighbours and then
     follows that root once, so long chains shorten fast. The state is written
-    out every round; its size is the number of dense cells, not of points.
+    out every round; its size is the number of core cells, not of points.
     """
-    cell = F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))
-    state = dense.withColumn("_root", cell)
-    steps = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
+    itself = cells.select("_cell", F.col("_cell").alias("_other"))
+    edges = settle(links.unionByName(itself))
+    state = cells.withColumn("_root", F.col("_cell"))
     while True:
-        offers = (
-            state.select((F.col("_x")), F.col("_y"), "_root", around.alias("_d"))
-            .groupBy((F.col("_x") + F.col("_d.dx")).alias("_x"), (F.col("_y") + F.col("_d.dy")).alias("_y"))
-            .agg(F.min("_root").alias("_offer"))
-        )
-        hooked = state.join(offers, ["_x", "_y"])
-        parents = state.select(
-            F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.col("_root").alias("_grand")
-        )
-        jumped = hooked.join(
-            parents, (F.col("_offer.x") == F.col("_px")) & (F.col("_offer.y") == F.col("_py")), "left"
-        )
-        following = F.least(F.col("_offer"), F.coalesce("_grand", F.col("_offer")))
-        moved = jumped.select(
-            "_x", "_y", "_n", "_min", following.alias("_root"), (F.col("_root") != following).alias("_moved")
-        )
+        roots = state.select(F.col("_cell").alias("_other"), F.col("_root").alias("_offer"))
+        offers = edges.join(roots, "_other").groupBy("_cell").agg(F.min("_offer").alias("_offer"))
+        parents = state.select(F.col("_cell").alias("_offer"), F.col("_root").alias("_grand"))
+        # Most cells may be offered the same root.
+        jumped = attach(state.join(offers, "_cell"), parents, "_offer")
+        following = F.least("_offer", "_grand")
+        moved = jumped.select("_cell", "_n", "_min", following.alias("_root"), (F.col("_root") != following).alias("_moved"))
         # The written rows are counted on the way, so no job has to look for changes.
         round_of = Observation()
         state = settle(moved.observe(round_of, F.count_if("_moved").alias("moved"))).drop("_moved")

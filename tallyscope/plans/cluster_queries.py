@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.scalars import ratio_band
+from tallyscope.functions.scalars import dot, ratio_band
 from tallyscope.operators import clusters, context, splits
 from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.schemas import KEY
@@ -71,24 +71,29 @@ def _(v: Views):
     return clusters.apply_clusters(clusters.fit_clusters(known, 6), new).select(ID, "cluster")
 
 
-EPS, MIN_SAMPLES, MIN_SIZE = 0.04, 4, 8
+EPS, MIN_SAMPLES, MIN_SIZE = 0.015, 4, 8
+# Two fixed directions that use every component.
+AXES = [[0.125 if i < DIMS // 2 else -0.125 for i in range(DIMS)], [0.125 - 0.25 * (i % 2) for i in range(DIMS)]]
 
 
 @query(
     "v5_density_clusters",
-    f"""WITH RECURSIVE p AS (SELECT vec_id, CAST(floor(CAST(embedding[1] AS DOUBLE) / {EPS}) AS BIGINT) AS x,
-        CAST(floor(CAST(embedding[2] AS DOUBLE) / {EPS}) AS BIGINT) AS y FROM embeddings),
-    dense AS (SELECT x, y, count(*) AS n, min(vec_id) AS first FROM p GROUP BY 1, 2 HAVING count(*) >= {MIN_SAMPLES}),
-    reach AS (SELECT x, y, x AS rx, y AS ry FROM dense UNION
-        SELECT d.x, d.y, r.rx, r.ry FROM reach r JOIN dense d ON abs(d.x - r.x) <= 1 AND abs(d.y - r.y) <= 1),
-    comp AS (SELECT x, y, min((rx, ry)) AS root FROM reach GROUP BY 1, 2),
-    sized AS (SELECT root, sum(n) AS size, min(first) AS first FROM comp JOIN dense USING (x, y) GROUP BY 1
-        HAVING sum(n) >= {MIN_SIZE}),
-    numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY size DESC, first) - 1 AS INT) AS cluster FROM sized)
-    SELECT vec_id, coalesce(cluster, -1) AS cluster FROM p LEFT JOIN comp USING (x, y) LEFT JOIN numbered USING (root)""",
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), {AXES[0]}::DOUBLE[]) AS x,
+        list_inner_product(CAST(embedding AS DOUBLE[]), {AXES[1]}::DOUBLE[]) AS y FROM embeddings),
+    near AS MATERIALIZED (SELECT a.vec_id, b.vec_id AS other FROM p a JOIN p b
+        ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {EPS * EPS!r}),
+    core AS MATERIALIZED (SELECT vec_id FROM near GROUP BY 1 HAVING count(*) >= {MIN_SAMPLES}),
+    link AS MATERIALIZED (SELECT n.* FROM near n JOIN core a USING (vec_id) JOIN core b ON n.other = b.vec_id),
+    reach AS (SELECT vec_id, vec_id AS root FROM core UNION
+        SELECT l.other, r.root FROM reach r JOIN link l USING (vec_id)),
+    comp AS (SELECT vec_id, min(root) AS root FROM reach GROUP BY 1),
+    sized AS (SELECT root, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) >= {MIN_SIZE}),
+    numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY size DESC, root) - 1 AS INT) AS cluster FROM sized)
+    SELECT vec_id, coalesce(cluster, -1) AS cluster FROM p LEFT JOIN comp USING (vec_id) LEFT JOIN numbered USING (root)""",
 )
 def _(v: Views):
-    flat = v.points.select(ID, F.slice("vector", 1, 2).alias("vector"))
+    on_axes = [dot(F.col("vector"), F.array(*[F.lit(w) for w in axis])) for axis in AXES]
+    flat = v.points.select(ID, F.array(*on_axes).alias("vector"))
     found = clusters.density_clusters(
         flat, eps=EPS, min_samples=MIN_SAMPLES, min_cluster_size=MIN_SIZE, key=ID
     )

@@ -194,26 +194,26 @@ def test_single_cluster_has_no_score(spark):
 
 
 def brute_density(rows, eps, min_samples, min_size):
-    cells = {}
-    for i, x, _ in rows:
-        cells.setdefault((math.floor(x[0] / eps), math.floor(x[1] / eps)), []).append(i)
-    dense = {c for c, m in cells.items() if len(m) >= min_samples}
+    """Connected core points from all pairs."""
+    near = {
+        i: [j for j, q, _ in rows if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps] for i, p, _ in rows
+    }
+    core = {i for i, others in near.items() if len(others) >= min_samples}
     seen, parts = set(), []
-    for start in sorted(dense):
+    for start in sorted(core):
         if start in seen:
             continue
         stack, part = [start], []
         seen.add(start)
         while stack:
-            x, y = stack.pop()
-            part.append((x, y))
-            for other in [(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
-                if other in dense and other not in seen:
-                    seen.add(other)
-                    stack.append(other)
-        members = sorted(i for c in part for i in cells[c])
-        if len(members) >= min_size:
-            parts.append(members)
+            i = stack.pop()
+            part.append(i)
+            for j in near[i]:
+                if j in core and j not in seen:
+                    seen.add(j)
+                    stack.append(j)
+        if len(part) >= min_size:
+            parts.append(sorted(part))
     parts.sort(key=lambda m: (-len(m), m[0]))
     found = {i: -1 for i, _, _ in rows}
     for number, members in enumerate(parts):
@@ -221,12 +221,41 @@ def brute_density(rows, eps, min_samples, min_size):
     return found
 
 
-def test_density_clusters(spark):
+@pytest.mark.parametrize("eps", [0.15, 0.6])
+def test_density_clusters(spark, eps):
     rows, df = blobs(spark, 400)
-    found = clusters.density_clusters(df, eps=0.6, min_samples=3, min_cluster_size=10, key="vec_id")
-    expected = brute_density(rows, 0.6, 3, 10)
-    assert {r["vec_id"]: r["cluster"] for r in found.collect()} == expected
-    assert len(set(expected.values())) > 2
+    found = clusters.density_clusters(df, eps=eps, min_samples=3, min_cluster_size=5, key="vec_id")
+    assert {r["vec_id"]: r["cluster"] for r in found.collect()} == brute_density(rows, eps, 3, 5)
+
+
+def test_density_clusters_do_not_depend_on_the_grid(spark):
+    rows, df = blobs(spark, 300)
+    half = F.transform("vector", lambda x: x + 0.3 / math.sqrt(2.0))
+    here = clusters.density_clusters(df, eps=0.6, min_samples=4, min_cluster_size=4, key="vec_id")
+    there = clusters.density_clusters(df.withColumn("vector", half), eps=0.6, min_samples=4, min_cluster_size=4, key="vec_id")
+    found = {r["vec_id"]: r["cluster"] for r in here.collect()}
+    assert found == {r["vec_id"]: r["cluster"] for r in there.collect()}
+    assert len(set(found.values())) > 2
+
+
+def test_density_clusters_over_a_cell_edge_and_without_places(spark):
+    nan, inf = float("nan"), float("inf")
+    edge = 0.1 / math.sqrt(2.0)
+    rows = [(i, [edge + (0.0005 if i % 2 else -0.0005), edge + (0.0005 if i // 2 else -0.0005)]) for i in range(4)]
+    rows += [(10, [nan, 0.0]), (11, [inf, 0.0]), (12, None), (13, [0.0, None]), (14, [9.0, 9.0]), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    found = clusters.density_clusters(df, eps=0.1, min_samples=4, min_cluster_size=4, key="vec_id").collect()
+    assert sorted((r["vec_id"], r["cluster"]) for r in found) == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 0)] + [(i, -1) for i in range(10, 15)]
+    assert clusters.density_clusters(df.limit(0), eps=0.1, min_samples=4, min_cluster_size=4, key="vec_id").count() == 0
+
+
+def test_density_clusters_link_crowded_cells_by_their_closest_places(spark):
+    # Two crowded clouds, once a little nearer than eps and once a little further.
+    for gap, clouds in ((0.0999, 1), (0.1001, 2)):
+        xs = [-(i + 1) * 1e-5 for i in range(40)] + [gap - 1e-5 + i * 1e-5 for i in range(40)]
+        df = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate(xs)], "vec_id long, vector array<double>")
+        found = clusters.density_clusters(df, eps=0.1, min_samples=5, min_cluster_size=5, key="vec_id").collect()
+        assert len({r["cluster"] for r in found}) == clouds
 
 
 def test_density_cluster_along_a_chain(spark):
