@@ -38,6 +38,8 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style noscript template svg math iframe object textarea title canvas audio video".split())
+#: Any other element, and text, ends an open head: its end tag and the body's start tag may be left out.
+HEAD_HOLDS = set("head title base link meta style script noscript noframes template".split())
 #: An open element of the first kind ends when one of the second begins.
 ENDS = {
     "p": BLOCKS,
@@ -100,7 +102,13 @@ class Blocks(HTMLParser):
             elif name in SCOPES:
                 return
 
+    def _end_head(self) -> None:
+        while self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_HOLDS:
+            self._end_head()
         if tag in BLOCKS:
             self.flush()
             self._end_implied(tag)
@@ -132,6 +140,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         if not self.hidden:
             self.words.append(data)
             if self.links:

@@ -177,6 +177,27 @@ def test_article_text():
     assert extraction.main_text(field, "") == "" and extraction.main_text(field, "<p></p>") == ""
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<html><head><title>T</title>",
+        "<head><meta charset=utf-8><title>T</title><noscript><div>no</div><img src=x></noscript><template><p>no</p></template>\n",
+        "<head><head><style>p{}</style><title>T</title><img src=x><script>'<p>no'</script></head><body>",
+        "<head><title>T</title><body>",
+    ],
+)
+@pytest.mark.parametrize("first", ["<article><p>", "<p>", "<a href=/>", "<b>", "<x-part>", "", "&nbsp;"])
+def test_head_ends_without_its_end_tag(head, first):
+    texts = [b.text for b in extraction.leaf_blocks(f"{head}{first}Words of an article.<p>And its end.")]
+    assert texts == ["Words of an article.", "And its end."]
+
+
+def test_article_of_page_without_optional_tags():
+    field = extraction.train(extraction.labelled_layouts([], 200, seed=1), steps=80)
+    page = "<!doctype html><title>T</title><nav><a href=/>Home</a></nav><article><h1>A</h1><p>First line of it.<p>Second line.</article><footer>&copy; x</footer>"
+    assert extraction.main_text(field, page.replace("<title>", "<html><head><title>")) == extraction.main_text(field, page) == "A\nFirst line of it.\nSecond line."
+
+
 def test_field_decodes_unseen_layouts():
     texts = ["Some words of a text, and more of them. Then another sentence follows here."] * 3
     field = extraction.train(extraction.labelled_layouts(texts, 400, seed=2), steps=120)
