@@ -228,3 +228,36 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
     broken = F.raise_error(F.lit("median left its bracket")).cast("double")
     low_value, high_value = [F.coalesce(value, broken) for value in at]
     return seen.groupBy(*by).agg(((low_value + high_value) / 2).alias(name))
+
+
+def exact_tiles(df: DataFrame, by: Sequence[str], value: str, parts: int, name: str) -> DataFrame:
+    """Per group the ``parts - 1`` values of exact rank ceil(n * i / parts), as an array (the median for two parts).
+
+    Counts per (group, value) are cut into range chunks; only the chunks that hold a
+    wanted rank are ranked, each by itself. NULL values have no rank, and a group
+    of only such values gets NULLs. ``by`` must not be NULL.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
+    chunks = settle(range_chunks(counts, *by, "_v"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = F.expr(f"transform(sequence(1, {parts - 1}), i -> struct(i, (_all * i + {parts - 1}) div {parts} AS r))")
+
+    def held(begin: Column, end: Column) -> Column:
+        return F.filter("_ranks", lambda x: (F.col("_all") == 0) | (x["r"] > begin) & (x["r"] <= end))
+
+    wanted = (
+        chunks.groupBy(*by, CHUNK)
+        .agg(F.sum("_c").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_all", F.sum("_n").over(group))
+        .withColumn("_ranks", ranks)
+        .withColumn("_ranks", held(F.col("_before"), F.col("_before") + F.col("_n")))
+        .where(F.size("_ranks") > 0)
+        .drop("_n")
+    )
+    upto = Window.partitionBy(*by, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = chunks.join(wanted, [*by, CHUNK]).withColumn("_seen", F.col("_before") + F.sum("_c").over(upto))
+    found = seen.select(*by, "_v", F.explode(held(F.col("_seen") - F.col("_c"), F.col("_seen"))).alias("_r"))
+    in_order = F.sort_array(F.collect_list(F.struct("_r.i", "_v")))
+    return found.groupBy(*by).agg(F.transform(in_order, lambda x: x["_v"]).alias(name))

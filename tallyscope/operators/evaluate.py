@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import one_row
+from tallyscope.functions.groups import exact_tiles, one_row
 from tallyscope.functions.scalars import listed
 
 F1_TARGET = 0.85
@@ -160,13 +160,12 @@ def drift_report(
 ) -> DataFrame:
     """Population stability index per feature over the baseline's deciles.
 
-    The bounds of all features are one row (exact up to 100,000 rows, a mergeable
-    sketch beyond), and both tables are only counted.
+    The bounds are values of exact rank; those of all features are one row, and both
+    tables are only counted.
     """
-    shares = [i / bins for i in range(1, bins)]
-    bounds = one_row(
-        baseline.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 100_000).alias(c) for c in features])
-    )
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))
+    tiles = exact_tiles(baseline.select(values.alias("i")).select("i.*"), ["feature"], "value", bins, "bounds")
+    bounds = one_row(tiles.agg(*[F.max(F.when(F.col("feature") == c, F.col("bounds"))).alias(c) for c in features]))
     floor = 1e-4
 
     def stats(df: DataFrame, which: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.groups import both_sides, global_position, tile, top_k
+from tallyscope.functions.groups import both_sides, exact_tiles, global_position, tile, top_k
 from tallyscope.functions.scalars import count_where, in_window, safe_divide
 from tallyscope.functions.shares import concentration, entropy_from_sums
 from tallyscope.operators.features import hour_entropy, hour_sums, standardise
@@ -70,13 +70,11 @@ def _directed(transactions: DataFrame, *columns: str) -> DataFrame:
 def median_value(transactions: DataFrame) -> DataFrame:
     """Median transferred value per account, both directions.
 
-    A mergeable sketch, so a hot account needs no task of its own; it is exact
-    up to its accuracy (10,000 values per account).
+    The value of exact rank ceil(n / 2), from counts per value in range chunks, so
+    a hot account needs no task of its own.
     """
-    sides = _directed(transactions, "value_eth")
-    return sides.groupBy(KEY).agg(
-        F.percentile_approx("value_eth", 0.5, 10_000).alias("median_value_per_tx")
-    )
+    middle = exact_tiles(_directed(transactions, "value_eth"), [KEY], "value_eth", 2, "_middle")
+    return middle.select(KEY, F.col("_middle")[0].alias("median_value_per_tx"))
 
 
 def _account_days(transactions: DataFrame) -> DataFrame:

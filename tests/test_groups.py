@@ -1,5 +1,6 @@
 """The building blocks on skewed input, cut into many chunks, against brute force."""
 
+import math
 import random
 import statistics
 
@@ -142,6 +143,49 @@ def test_exact_median(spark, size):
     assert groups.exact_median(df, [], "x").first()["median"] == statistics.median([x for _, x in rows])
 
 
+@pytest.mark.parametrize("parts", [2, 10])
+def test_exact_tiles(chunked, parts):
+    rng = random.Random(parts)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(9)}", rng.choice((None, *range(50)))) for _ in range(3_000)]
+    rows += [("one", 4), ("none", None), ("none", None)]
+    df = chunked.createDataFrame([(k, None if x is None else x / 7) for k, x in rows], "k string, x double")
+    found = {r["k"]: r["q"] for r in groups.exact_tiles(df, ["k"], "x", parts, "q").collect()}
+    for key, members in by_key(rows).items():
+        values = sorted(x / 7 for _, x in members if x is not None)
+        assert found[key] == [values[-(-len(values) * i // parts) - 1] if values else None for i in range(1, parts)]
+    assert len(found) == len(by_key(rows))
+
+
+def test_median_of_a_hot_account(spark):
+    from tallyscope.operators import staging
+
+    # The account "a" has 60,001 values, more than a sketch of 10,000 keeps apart.
+    tx = spark.range(60_001).select(
+        F.lit("a").alias("from_address"), F.concat(F.lit("b"), F.col("id") % 7).alias("to_address"),
+        F.pow(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double"), F.lit(2.0)).alias("value_eth"),
+    )
+    found = {r[0]: r[1] for r in staging.median_value(tx).collect()}
+    members = {}
+    for r in tx.collect():
+        for k in (r.from_address, r.to_address):
+            members.setdefault(k, []).append(r.value_eth)
+    assert found == {k: statistics.median_low(x) for k, x in members.items()}
+
+
+def test_drift_bounds_of_a_large_baseline(spark):
+    from tallyscope.operators import evaluate
+
+    n = 2_000_003  # a prime, so the products are the numbers below it, mixed
+    base = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("x"))
+    cuts = [-(-n * i // 10) - 1 for i in range(1, 10)]
+    now = spark.createDataFrame([(float(c + k),) for c in cuts for k in (0, 1)], "x double")
+    row = evaluate.drift_report(base, now, ["x"]).first()
+    # Each value after a bound is in the next tenth.
+    tenths = [((cuts + [n - 1])[k] - ([-1] + cuts)[k]) / n for k in range(10)]
+    shares = [(1 if k in (0, 9) else 2) / 18 for k in range(10)]
+    assert row.psi == pytest.approx(sum((c - b) * math.log(c / b) for b, c in zip(tenths, shares, strict=True)), abs=1e-9)
+
+
 def test_best_row(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "k string, t int, i int, x double")
