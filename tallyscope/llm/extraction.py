@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,6 @@ from tallyscope.llm.common import query, ready, table
 #: Pages of the sample that the field is trained on.
 SAMPLE = 150
 LAYOUTS = 600
-MAX_TRAIN_BLOCKS = 120
 FEATURE_BITS = 15
 STEPS = 150
 
@@ -249,32 +249,41 @@ def _marginals(scores: np.ndarray, mask: np.ndarray, steps: np.ndarray) -> tuple
 
 def train(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, rate: float = 0.1, penalty: float = 2e-4) -> Field:
     """Maximum likelihood with a quadratic penalty, by Adam over all pages."""
-    pages = [(b[:MAX_TRAIN_BLOCKS], y[:MAX_TRAIN_BLOCKS]) for b, y in pages if b]
+    pages = sorted(((b, y) for b, y in pages if b), key=lambda page: len(page[0]))
     size = 1 << FEATURE_BITS
     if not pages:
         return Field(np.zeros((size, 2)), np.zeros((2, 2)))
-    length = max(len(b) for b, _ in pages)
-    mask = np.zeros((len(pages), length), dtype=bool)
-    truth = np.zeros((len(pages), length, 2))
+    # Pages of similar length share padded arrays: the span of their blocks, mask and labels.
+    lots = []
     numbers, rows, at = [], [], 0
-    for k, (blocks, labels) in enumerate(pages):
-        own, starts = features(blocks)
-        numbers.append(own)
-        rows.append(at + np.searchsorted(starts, np.arange(len(own)), side="right") - 1)
-        at += len(blocks)
-        mask[k, : len(blocks)] = True
-        truth[k, np.arange(len(blocks)), np.array(labels, dtype=int)] = 1
+    for _, lot in groupby(pages, key=lambda page: len(page[0]).bit_length() // 2):
+        lot = list(lot)
+        mask = np.zeros((len(lot), len(lot[-1][0])), dtype=bool)
+        truth = np.zeros((*mask.shape, 2))
+        begin = at
+        for k, (blocks, labels) in enumerate(lot):
+            own, starts = features(blocks)
+            numbers.append(own)
+            rows.append(at + np.searchsorted(starts, np.arange(len(own)), side="right") - 1)
+            at += len(blocks)
+            mask[k, : len(blocks)] = True
+            truth[k, np.arange(len(blocks)), np.array(labels, dtype=int)] = 1
+        lots.append((slice(begin, at), mask, truth))
     numbers, rows = np.concatenate(numbers), np.concatenate(rows)
-    seen_pairs = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:])
+    seen_pairs = sum(np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:]) for _, _, truth in lots)
     parameters = [np.zeros((size, 2)), np.zeros((2, 2))]
     first, second = [np.zeros_like(x) for x in parameters], [np.zeros_like(x) for x in parameters]
     starts = np.searchsorted(rows, np.arange(at))
     for step in range(1, steps + 1):
         weights, links = parameters
-        scores = np.zeros((len(pages), length, 2))
-        scores[mask] = np.add.reduceat(weights[numbers], starts, axis=0)
-        single, pairs = _marginals(scores, mask, links)
-        rest = (single - truth)[mask]
+        every = np.add.reduceat(weights[numbers], starts, axis=0)
+        rest, pairs = np.empty_like(every), np.zeros((2, 2))
+        for span, mask, truth in lots:
+            scores = np.zeros(truth.shape)
+            scores[mask] = every[span]
+            single, own_pairs = _marginals(scores, mask, links)
+            rest[span] = (single - truth)[mask]
+            pairs += own_pairs
         slope = np.stack([np.bincount(numbers, weights=rest[rows, y], minlength=size) for y in (0, 1)], axis=1)
         for k, g in enumerate((slope / len(pages) + penalty * weights, (pairs - seen_pairs) / len(pages) + penalty * links)):
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -424,11 +433,11 @@ def semantic_labels(blocks: list[Block]) -> list[bool] | None:
 
 
 def learn_from_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS) -> Field:
-    """Train on ``sample`` of the pages (by a hash of the key) and on ``layouts`` composed of their texts."""
+    """Train on ``sample`` of the pages (by a hash of the key), each whole, and on ``layouts`` composed of their texts."""
     place = F.xxhash64(F.lit("extract"), F.col(f"`{key}`").cast("string"))
-    rows = pages.where(F.col(f"`{html}`").isNotNull()).select(F.substring(f"`{html}`", 1, 200_000).alias("html"), place.alias("place"))
+    rows = pages.where(F.col(f"`{html}`").isNotNull()).select(F.col(f"`{html}`").alias("html"), place.alias("place"))
     given = [leaf_blocks(r.html) for r in rows.orderBy("place", "html").limit(sample).collect()]
-    texts = [b.text for blocks in given for b in blocks if len(b.text) > 20][:5_000]
+    texts = [b.text for blocks in given for b in blocks if len(b.text) > 20]
     own = [(blocks, labels) for blocks in given if (labels := semantic_labels(blocks))]
     return train(own + labelled_layouts(texts, layouts))
 

@@ -198,6 +198,15 @@ def test_article_of_page_without_optional_tags():
     assert extraction.main_text(field, page.replace("<title>", "<html><head><title>")) == extraction.main_text(field, page) == "A\nFirst line of it.\nSecond line."
 
 
+def test_training_reads_whole_pages(spark):
+    end = "<p>Words here.</p></article>" + "<div class=qqq>Words here.</div>" * 20
+    for page in ("<article>" + "<p>Words here.</p>" * 150 + end, f"<article><p>{'word ' * 50_000}</p>{end}"):
+        pages = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+        field = extraction.learn_from_pages(pages, layouts=0)
+        blocks = extraction.leaf_blocks(page)
+        assert field.decode(field.scores(*extraction.features(blocks))) == [True] * (len(blocks) - 20) + [False] * 20
+
+
 def test_field_decodes_unseen_layouts():
     texts = ["Some words of a text, and more of them. Then another sentence follows here."] * 3
     field = extraction.train(extraction.labelled_layouts(texts, 400, seed=2), steps=120)
