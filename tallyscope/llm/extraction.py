@@ -37,7 +37,7 @@ BLOCKS = set(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style noscript template svg math iframe object textarea title canvas audio video".split())
+HIDDEN = set("head script style noscript template svg iframe object textarea title canvas audio video".split())
 #: Any other element, and text, ends an open head: its end tag and the body's start tag may be left out.
 HEAD_HOLDS = set("head title base link meta style script noscript noframes template".split())
 #: An open element of the first kind ends when one of the second begins.

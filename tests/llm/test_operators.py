@@ -198,6 +198,11 @@ def test_article_of_page_without_optional_tags():
     assert extraction.main_text(field, page.replace("<title>", "<html><head><title>")) == extraction.main_text(field, page) == "A\nFirst line of it.\nSecond line."
 
 
+def test_formulas_stay_in_their_block():
+    page = "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.<p>End."
+    assert [b.text for b in extraction.leaf_blocks(page)] == ["So x=1 holds.", "End."]
+
+
 def test_training_reads_whole_pages(spark):
     end = "<p>Words here.</p></article>" + "<div class=qqq>Words here.</div>" * 20
     for page in ("<article>" + "<p>Words here.</p>" * 150 + end, f"<article><p>{'word ' * 50_000}</p>{end}"):
