@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.functions.groups import attach, group_position
+from tallyscope.functions.groups import attach, group_position, is_small
 from tallyscope.llm.common import query, ready, table
 from tallyscope.llm.components import Forest, connected_components
 from tallyscope.session import settle
@@ -169,9 +169,12 @@ def _turned(classes: DataFrame) -> DataFrame:
     """Unit vectors on the principal axes of all of them, in falling order of variance."""
     width = classes.agg(F.max(F.size("vector"))).first()[0]
     unit = classes.withColumn("_unit", array_to_vector(_unit_vectors(width)("vector")))
+    group = F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string"))
+    if is_small(classes, 1):  # a single row has no covariance
+        return unit.withColumn("turned", vector_to_array("_unit")).drop("_unit").withColumn("group", group)
     axes = PCA(k=width, inputCol="_unit", outputCol="_turned").fit(unit)
     turned = axes.transform(unit).withColumn("turned", vector_to_array("_turned")).drop("_unit", "_turned")
-    return turned.withColumn("group", F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string")))
+    return turned.withColumn("group", group)
 
 
 def _tiles(turned: DataFrame) -> DataFrame:

@@ -279,6 +279,13 @@ def test_embedding_classes(spark, monkeypatch):
     assert embedding_dedup.embedding_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_embeddings_of_one_class(spark, copies):
+    rows = [(k, [1.0, 2.0, 0.5], 1) for k in range(copies)] + [(9, None, 1)]
+    out = embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert {tuple(r) for r in out.collect()} == {(k, copies - 1, 0, k == 0) for k in range(copies)} | {(9, 0, 9, True)}
+
+
 # ------------------------------------------------------------------ 6
 
 
