@@ -5,10 +5,12 @@ from tallyscope.llm import (  # noqa: F401
     decontaminate,
     embedding_dedup,
     extraction,
+    hard_negatives,
     jaccard_join,
     language,
     mixing,
     sharding,
+    spelling,
     tokens,
     warc,
 )
