@@ -9,6 +9,7 @@ from tallyscope.llm import (  # noqa: F401
     jaccard_join,
     language,
     mixing,
+    private_data,
     sharding,
     spelling,
     tokens,
