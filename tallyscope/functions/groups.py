@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ CHUNK = "_chunk"
 # A side of a join may be broadcast up to this many narrow rows.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
+# Rows of a key in one chunk of time, up to those of an hour more.
+CHUNK_ROWS = 1_000_000
+# A group of up to this many values is sorted as one array.
+SORTED_ROWS = 100_000
 
 
 def one_row(stats: DataFrame) -> Column:
@@ -27,24 +32,50 @@ def one_row(stats: DataFrame) -> Column:
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    # A limit would bring up to its number of rows of every partition to one task.
+    return df.count() <= limit
+
+
+def heavy_keys(df: DataFrame, on: str, share: float) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows, as one column ``on``.
+
+    From a mergeable frequent-items summary of bounded size, in one pass without a
+    shuffle of rows or keys. It may name a few lighter keys too, but misses none.
+    """
+    # The summary's error is at most 3.5 / tracked of the rows; half the share is left for it.
+    tracked = min(1 << 20, max(1_024, 1 << math.ceil(math.log2(7.0 / share))))
+    counted = df.where(F.col(on).isNotNull()).agg(
+        F.count(F.lit(1)).alias("_rows"), F.expr(f"approx_top_k(`{on}`, {tracked // 2}, {tracked})").alias("_top")
+    )
+    found = counted.select("_rows", F.explode("_top").alias("_t"))
+    return found.where(F.col("_t.count") >= F.col("_rows") * (share / 2)).select(F.col("_t.item").alias(on))
 
 
 def _join_small_or_salted(
     df: DataFrame, side: DataFrame, on: str, how: str, limit: int
 ) -> DataFrame:
-    """Join rows to a keyed side, by broadcast or by key and salt.
+    """Join rows to a keyed side, by broadcast or by key, heavy keys by key and salt.
 
-    A side of a checked size is broadcast. A larger one is joined by key and
-    salt, so that the rows of a hot key spread over ``SALTS`` tasks. The size
-    check reads ``side`` once more, so it should be a stored table.
+    A side of a checked size is broadcast. Of a larger one only the rows of heavy keys
+    are repeated ``SALTS`` times, and only the rows of ``df`` with such keys are dealt
+    over the salts; without a heavy key it is a plain join by key. Heavy is a key with
+    half the rows of an average task or more. The checks read ``side`` and the key of
+    ``df`` once more, so both should be stored tables.
     """
     side = side.where(F.col(on).isNotNull())
     if is_small(side, limit):
         return df.join(F.broadcast(side), on, how)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    heavy = settle(heavy_keys(df, on, 0.5 / tasks))
+    if heavy.isEmpty():
+        return df.join(side, on, how)
+    # At most four keys per task: a proven bound.
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     others = [F.col(f"`{c}`") for c in df.columns if c != on] or [F.col(on)]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = df.join(heavy, on, "left").withColumn("_salt", salt).drop("_heavy")
+    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = side.join(heavy, on, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
     return salted.join(spread, [on, "_salt"], how).drop("_salt")
 
 
@@ -134,6 +165,34 @@ def range_chunks(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id())
 
 
+def time_chunks(df: DataFrame, keys: Sequence[str], ts: str, *, rows: int | None = None) -> DataFrame:
+    """Number consecutive chunks of time inside each key, in a column ``CHUNK``; NULL times come first.
+
+    Only keys with more than ``rows`` rows are cut, between hours, about every ``rows``
+    rows. Rows are counted but not moved, so the only exchange of rows is that of the
+    window by key and chunk which follows.
+    """
+    rows = CHUNK_ROWS if rows is None else rows
+    hour = F.coalesce(F.floor(F.unix_seconds(ts) / 3600), F.lit(-(1 << 60)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= rows:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    hot = settle(counts.where(F.col("_n") > rows).drop("_n"))
+
+    def joined(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in right.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names]
+        side = F.broadcast(right) if is_small(right) else right
+        return left.join(side, same, how).drop(*[f"_r_{c}" for c in names])
+
+    timed = df.withColumn("_hour", hour)
+    hours = joined(timed.select(*keys, "_hour"), hot, keys, "left_semi").groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / rows).alias("_cut")
+    numbered = joined(timed, settle(hours.select(*keys, "_hour", cut)), [*keys, "_hour"], "left")
+    return numbered.withColumn(CHUNK, F.coalesce("_cut", F.lit(0)).cast("bigint")).drop("_cut", "_hour")
+
+
 def global_position(
     df: DataFrame, *order: Column, name: str = "position", size: str = "total"
 ) -> DataFrame:
@@ -194,70 +253,69 @@ def tile(position: Column, total: Column, tiles: int) -> Column:
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group for few, possibly huge, groups.
-
-    A mergeable sketch brackets the middle; rows outside the bracket collapse
-    to one count per side before the shuffle, and only the narrow band inside
-    it is ordered.
-    """
-    accuracy = 10_000
-    slack = 3.0 / accuracy
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    ends = settle(
-        rows.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_q"),
-        )
-    )
-    if by:
-        paired = rows.join(F.broadcast(ends) if is_small(ends) else ends, list(by))
-    else:
-        paired = rows.withColumn("_e", one_row(ends)).select("_v", "_e.*")
-    side = F.when(F.col("_v") < F.col("_q")[0], -1).when(F.col("_v") > F.col("_q")[1], 1)
-    band = (
-        paired.withColumn("_side", side.otherwise(0))
-        .withColumn("_m", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*by, "_n", "_side", "_m")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*by).orderBy("_side", "_m")
-    seen = band.withColumn("_seen", F.sum("_c").over(upto))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    at = [F.min(F.when(F.col("_seen") >= r, F.struct("_seen", "_m")))["_m"] for r in (low, high)]
-    # NULL would mean that the middle fell outside the bracket.
-    broken = F.raise_error(F.lit("median left its bracket")).cast("double")
-    low_value, high_value = [F.coalesce(value, broken) for value in at]
-    return seen.groupBy(*by).agg(((low_value + high_value) / 2).alias(name))
+    """Exact median per group as a double: the mean of the two middle values of an even number."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    middle = exact_ranks(rows, by, "_v", ["(_all + 1) div 2", "(_all + 2) div 2"], "_middle")
+    return middle.select(*by, ((F.col("_middle")[0] + F.col("_middle")[1]) / 2).alias(name))
 
 
 def exact_tiles(df: DataFrame, by: Sequence[str], value: str, parts: int, name: str) -> DataFrame:
-    """Per group the ``parts - 1`` values of exact rank ceil(n * i / parts), as an array (the median for two parts).
+    """Per group the ``parts - 1`` values of exact rank ceil(n * i / parts), as an array (the median for two parts)."""
+    return exact_ranks(df, by, value, [f"(_all * {i} + {parts - 1}) div {parts}" for i in range(1, parts)], name)
+
+
+def exact_ranks(
+    df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[str], name: str, *, limit: int | None = None
+) -> DataFrame:
+    """Per group the values of the given ranks, as an array; ``ranks`` are SQL of the number of values ``_all``.
 
-    Counts per (group, value) are cut into range chunks; only the chunks that hold a
-    wanted rank are ranked, each by itself. NULL values have no rank, and a group
-    of only such values gets NULLs. ``by`` must not be NULL.
+    A group of up to ``limit`` rows is sorted by one aggregate. Larger ones, found by
+    counting, go by range chunks of their counts per value, and no task needs one
+    whole. NULL values have no rank; a group of only such values gets NULLs. ``by``
+    must not be NULL.
     """
-    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
-    chunks = settle(range_chunks(counts, *by, "_v"))
-    group = Window.partitionBy(*by)
+    limit = SORTED_ROWS if limit is None else limit
+    keys = list(by) or ["_everything"]
+    rows = df.select(*(by or [F.lit(0).alias("_everything")]), F.col(value).alias("_v"))
+    counts = rows.groupBy(*keys).agg(F.count("_v").alias("_rows"))
+    if (counts.agg(F.max("_rows")).first()[0] or 0) <= limit:
+        return _ranks_by_sorting(rows, keys, ranks, name).select(*by, name)
+    large = settle(counts.where(F.col("_rows") > limit).drop("_rows"))
+    # So many groups at most: the rows over the limit.
+    side = F.broadcast(large) if is_small(large) else large
+    ordinary = _ranks_by_sorting(rows.join(side, keys, "left_anti"), keys, ranks, name)
+    return ordinary.union(_ranks_by_chunks(rows.join(side, keys, "left_semi"), keys, ranks, name)).select(*by, name)
+
+
+def _ranks_by_sorting(rows: DataFrame, keys: Sequence[str], ranks: Sequence[str], name: str) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_sorted")).withColumn("_all", F.size("_sorted"))
+    wanted = ", ".join(f"get(_sorted, CAST({rank} AS INT) - 1)" for rank in ranks)
+    return found.select(*keys, F.expr(f"array({wanted})").alias(name))
+
+
+def _ranks_by_chunks(rows: DataFrame, keys: Sequence[str], ranks: Sequence[str], name: str) -> DataFrame:
+    """Counts per (group, value) in range chunks; only chunks that hold a wanted rank are ranked, each by itself."""
+    counts = rows.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    chunks = settle(range_chunks(counts, *keys, "_v"))
+    group = Window.partitionBy(*keys)
     earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.expr(f"transform(sequence(1, {parts - 1}), i -> struct(i, (_all * i + {parts - 1}) div {parts} AS r))")
+    every = F.expr("array(" + ", ".join(f"struct({i} AS i, {rank} AS r)" for i, rank in enumerate(ranks)) + ")")
 
     def held(begin: Column, end: Column) -> Column:
-        return F.filter("_ranks", lambda x: (F.col("_all") == 0) | (x["r"] > begin) & (x["r"] <= end))
+        return F.filter("_ranks", lambda x: (x["r"] > begin) & (x["r"] <= end))
 
     wanted = (
-        chunks.groupBy(*by, CHUNK)
+        chunks.groupBy(*keys, CHUNK)
         .agg(F.sum("_c").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_all", F.sum("_n").over(group))
-        .withColumn("_ranks", ranks)
+        .withColumn("_ranks", every)
         .withColumn("_ranks", held(F.col("_before"), F.col("_before") + F.col("_n")))
         .where(F.size("_ranks") > 0)
         .drop("_n")
     )
-    upto = Window.partitionBy(*by, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    seen = chunks.join(wanted, [*by, CHUNK]).withColumn("_seen", F.col("_before") + F.sum("_c").over(upto))
-    found = seen.select(*by, "_v", F.explode(held(F.col("_seen") - F.col("_c"), F.col("_seen"))).alias("_r"))
+    upto = Window.partitionBy(*keys, CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = chunks.join(wanted, [*keys, CHUNK]).withColumn("_seen", F.col("_before") + F.sum("_c").over(upto))
+    found = seen.select(*keys, "_v", F.explode(held(F.col("_seen") - F.col("_c"), F.col("_seen"))).alias("_r"))
     in_order = F.sort_array(F.collect_list(F.struct("_r.i", "_v")))
-    return found.groupBy(*by).agg(F.transform(in_order, lambda x: x["_v"]).alias(name))
+    return found.groupBy(*keys).agg(F.transform(in_order, lambda x: x["_v"]).alias(name))

@@ -1,8 +1,8 @@
 """Order-dependent aggregates that cut a hot group into consecutive chunks.
 
-Each works in two steps: rows are reduced inside range chunks, then the few
-chunk summaries of a group are combined in chunk order. No step needs all rows
-of a group in one task, and no step reads the chunks a second time.
+Each works in two steps: rows are reduced inside chunks of time, then the chunk
+summaries of a group, one for most, are combined in order. Rows move once, by group
+and chunk. No step needs all rows of a hot group in one task.
 """
 
 from __future__ import annotations
@@ -13,21 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscope.functions.groups import CHUNK, range_chunks
+from tallyscope.functions.groups import CHUNK, time_chunks
 
 
 def running_peak(
     df: DataFrame, key: str, order: Sequence[str], amount: Column, extra: dict[str, Column]
 ) -> DataFrame:
-    """Largest absolute value of the running sum of ``amount`` per key.
+    """Largest absolute value of the running sum of ``amount`` per key; ``order[0]`` is the time.
 
     ``extra`` names per-row amounts whose sums are returned beside ``peak``.
     """
-    rows = range_chunks(
-        df.select(key, *order, amount.alias("_a"), *[c.alias(n) for n, c in extra.items()]),
-        key,
-        *order,
-    )
+    narrow = df.select(key, *order, amount.alias("_a"), *[c.alias(n) for n, c in extra.items()])
+    rows = time_chunks(narrow, [key], order[0])
     upto = Window.partitionBy(key, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     chunks = (
         rows.withColumn("_run", F.sum("_a").over(upto))
@@ -63,7 +60,7 @@ def closed_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[str], opens
     closing one. ``order[0]`` is the time. Returns seconds and count per key.
     """
     ts = order[0]
-    rows = range_chunks(df.select(*keys, *order, opens.alias("_in")), *keys, *order)
+    rows = time_chunks(df.select(*keys, *order, opens.alias("_in")), keys, ts)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     gap = (F.unix_micros(F.lead(ts).over(inside)) - F.unix_micros(ts)) / F.lit(1e6)
     closes = F.col("_in") & ~F.lead("_in").over(inside)

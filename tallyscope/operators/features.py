@@ -14,6 +14,7 @@ from tallyscope.functions.ordered import closed_pairs, running_peak
 from tallyscope.functions.scalars import share_where
 from tallyscope.functions.shares import concentration, entropy_from_sums
 from tallyscope.schemas import FEATURES, KEY
+from tallyscope.session import settle
 
 HOURS = range(24)
 
@@ -100,8 +101,9 @@ def holding_duration(transfers: DataFrame) -> DataFrame:
         # Inside one transaction the inflow comes first.
         (~incoming).alias("_out"),
     )
+    # Stored: whoever removed repeated transfers need not do so again for counting them.
     pairs = closed_pairs(
-        rows,
+        settle(rows),
         [KEY, "token_address"],
         ["block_timestamp", "transaction_hash", "_out"],
         ~F.col("_out"),

@@ -28,9 +28,13 @@ WAREHOUSE_SOURCES = {
 }
 
 
+def _lower(addresses: Sequence[str]) -> list[str]:
+    return [a.lower() for a in addresses]
+
+
 def _senders(df: DataFrame, excluded: Sequence[str]) -> DataFrame:
     sender = F.lower("from_address")
-    return df.withColumn("address", sender).where(~sender.isin(list(excluded)))
+    return df.withColumn("address", sender).where(~sender.isin(_lower(excluded)))
 
 
 def recent(df: DataFrame, as_of: str | None, days: int | None) -> DataFrame:
@@ -53,7 +57,7 @@ def call_stats(
     )
 
     def of(category: str) -> Column:
-        return F.sum(F.when(F.col("_to").isin(book[category]), F.col("_n")).otherwise(0))
+        return F.sum(F.when(F.col("_to").isin(_lower(book[category])), F.col("_n")).otherwise(0))
 
     total = F.sum("_n")
     return pairs.groupBy("address").agg(
@@ -95,7 +99,7 @@ def block_stats(
     days: int | None = None,
 ) -> DataFrame:
     """Blocks with several transactions around a router, and with several routers."""
-    routed = F.when(F.lower("to_address").isin(list(dex)), F.lower("to_address"))
+    routed = F.when(F.lower("to_address").isin(_lower(dex)), F.lower("to_address"))
     # One row per account, block and router (or none), then per block.
     per_router = (
         _senders(recent(transactions, as_of, days), excluded)
@@ -172,7 +176,7 @@ def label_dex_heavy_transactions(
     days: int | None = None,
 ) -> DataFrame:
     """The same rule on sent transactions; with ``limit`` only the strongest accounts."""
-    routed = F.lower("to_address").isin(list(dex))
+    routed = F.lower("to_address").isin(_lower(dex))
     stats = (
         _senders(recent(transactions, as_of, days), excluded)
         .groupBy("address")
@@ -200,10 +204,11 @@ def trace_candidates(
     days: int | None = None,
 ) -> DataFrame:
     """Accounts with many internal router calls."""
-    calls = recent(traces, as_of, days).where((F.col("call_type") == "call") & F.col("to_address").isin(list(dex)))
+    routed = F.lower("to_address").isin(_lower(dex))
+    calls = recent(traces, as_of, days).where((F.col("call_type") == "call") & routed)
     return (
-        calls.where(~F.col("from_address").isin(list(excluded)))
-        .groupBy(F.col("from_address").alias("address"))
+        _senders(calls, excluded)
+        .groupBy("address")
         .agg(F.count(F.lit(1)).alias("trace_mev_tx"))
         .where(F.col("trace_mev_tx") >= min_calls)
     )
@@ -266,7 +271,7 @@ def resolve_labels(frames: Sequence[DataFrame], excluded: Sequence[str] = PROTOC
     combined = frames[0]
     for frame in frames[1:]:
         combined = combined.unionByName(frame, allowMissingColumns=True)
-    combined = combined.where(~F.col("address").isin(list(excluded)))
+    combined = combined.where(~F.col("address").isin(_lower(excluded)))
     order = F.struct(priority(F.col("label")).alias("p"), F.col("source"))
     return best_row(combined, ["address"], order, largest=False)
 
@@ -290,7 +295,7 @@ def build_labels(
     accounts = (
         active.select(F.lower(active.columns[0]).alias("address"))
         .distinct()
-        .where(~F.col("address").isin(list(excluded)))
+        .where(~F.col("address").isin(_lower(excluded)))
     )
     sent = _of_active(transactions, accounts)
     called = _of_active(calls, accounts)

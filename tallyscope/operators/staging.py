@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from tallyscope.functions.groups import both_sides, exact_tiles, global_position, tile, top_k
 from tallyscope.functions.scalars import count_where, in_window, safe_divide
 from tallyscope.functions.shares import concentration, entropy_from_sums
-from tallyscope.operators.features import hour_entropy, hour_sums, standardise
+from tallyscope.functions.wei import add_limbs, in_units, join_parts, pair_of, part_sums, total, units, wei, with_parts
+from tallyscope.operators.features import hour_entropy, hour_sums, impute, standardise
 from tallyscope.schemas import KEY, addresses
 from tallyscope.session import settle
 
 
 def account_totals(transactions: DataFrame) -> DataFrame:
-    """Transactions and volume per account over both directions, in one pass."""
-    return (
-        both_sides(transactions)
-        .groupBy(KEY)
-        .agg(
-            F.count(F.lit(1)).alias("tx_count"),
-            F.coalesce(F.sum("value_eth"), F.lit(0.0)).alias("total_eth"),
-        )
-    )
+    """Transactions and volume per account over both directions, in one pass; ``_volume`` is the exact sum in wei."""
+    valued, parts = with_parts(transactions)
+    # By day first, so that the sums of parts stay within a long.
+    day = F.to_date("block_timestamp").alias("_day") if "block_timestamp" in transactions.columns else F.lit(0).alias("_day")
+    days = both_sides(valued).groupBy(KEY, day).agg(F.count(F.lit(1)).alias("_n"), *part_sums(parts, "_sum"))
+    sums = days.groupBy(KEY).agg(F.sum("_n").alias("tx_count"), *join_parts("_sum"))
+    return sums.select(KEY, "tx_count", total("_sum").alias("_volume")).withColumn("total_eth", in_units("_volume"))
 
 
 def sample_accounts(
@@ -36,18 +35,15 @@ def sample_accounts(
 ) -> DataFrame:
     """Active accounts, a third of the quota from each tier of volume.
 
-    Inside a tier the smallest address hashes are kept, so the sample does not
-    depend on the order of the input.
+    Bounds and tiers compare exact sums of wei. Inside a tier the smallest address
+    hashes are kept, so the sample does not depend on the order of the input.
     """
     recent = transactions.where(in_window(F.col("block_timestamp"), as_of, days))
-    active = account_totals(recent).where(
-        (F.col("tx_count") >= min_tx) & (F.col("total_eth") >= min_eth)
-    )
-    # To the ninth digit, so that tiers do not depend on the order of addition.
-    ranked = global_position(active, F.round("total_eth", 9).desc(), F.col(KEY).asc())
+    active = account_totals(recent).where((F.col("tx_count") >= min_tx) & (F.col("_volume") >= pair_of(min_eth)))
+    ranked = global_position(active, F.col("_volume").desc(), F.col(KEY).asc())
     tiers = ranked.withColumn("_tier", tile(F.col("position"), F.col("total"), 3))
     kept = top_k(tiers, ["_tier"], [F.md5(KEY), F.col(KEY)], max_accounts // 3)
-    return kept.select(KEY, "tx_count", "total_eth").orderBy(F.desc("total_eth"), KEY)
+    return kept.orderBy(F.desc("_volume"), KEY).select(KEY, "tx_count", "total_eth")
 
 
 def _recent_success(df: DataFrame, as_of: str, days: int, status: str) -> DataFrame:
@@ -70,11 +66,12 @@ def _directed(transactions: DataFrame, *columns: str) -> DataFrame:
 def median_value(transactions: DataFrame) -> DataFrame:
     """Median transferred value per account, both directions.
 
-    The value of exact rank ceil(n / 2), from counts per value in range chunks, so
-    a hot account needs no task of its own.
+    The amount of exact rank ceil(n / 2), compared in wei; a hot account needs no task
+    of its own.
     """
-    middle = exact_tiles(_directed(transactions, "value_eth"), [KEY], "value_eth", 2, "_middle")
-    return middle.select(KEY, F.col("_middle")[0].alias("median_value_per_tx"))
+    amounts = _directed(transactions.withColumn("_wei", wei(transactions)), "_wei")
+    middle = exact_tiles(amounts, [KEY], "_wei", 2, "_middle")
+    return middle.select(KEY, units(F.col("_middle")[0]).alias("median_value_per_tx"))
 
 
 def _account_days(transactions: DataFrame) -> DataFrame:
@@ -83,7 +80,8 @@ def _account_days(transactions: DataFrame) -> DataFrame:
     One pass over the ledger and two shrinking aggregates, by (account, day,
     hour) and by (account, day); totals and rhythm both come from it.
     """
-    sides = _directed(transactions, "block_timestamp", "value_eth", "gas_price", "receipt_gas_used")
+    valued, parts = with_parts(transactions)
+    sides = _directed(valued, "block_timestamp", "gas_price", "receipt_gas_used", *parts)
     sent = F.col("_sent")
     ts = F.col("block_timestamp")
     price = F.col("gas_price").cast("double")
@@ -95,8 +93,8 @@ def _account_days(transactions: DataFrame) -> DataFrame:
     hourly = sides.groupBy(KEY, F.to_date(ts).alias("_day"), F.hour(ts).alias("_hour")).agg(
         count_where(sent).alias("_sent_n"),
         count_where(~sent).alias("_got_n"),
-        F.sum(if_sent(F.col("value_eth"))).alias("_sent_value"),
-        F.sum(F.when(~sent, F.col("value_eth"))).alias("_got_value"),
+        *part_sums(parts, "_sent_value", sent),
+        *part_sums(parts, "_got_value", ~sent),
         F.sum(if_sent(cost)).alias("_cost"),
         F.sum(if_sent(price)).alias("_price"),
         F.count(if_sent(price)).alias("_price_n"),
@@ -104,9 +102,11 @@ def _account_days(transactions: DataFrame) -> DataFrame:
         F.max(ts).alias("_to"),
     )
     n = F.col("_sent_n") + F.col("_got_n")
-    summed = ["_sent_n", "_got_n", "_sent_value", "_got_value", "_cost", "_price", "_price_n"]
+    summed = ["_sent_n", "_got_n", "_cost", "_price", "_price_n"]
     return hourly.groupBy(KEY, "_day").agg(
         *[F.sum(c).alias(c) for c in summed],
+        *join_parts("_sent_value"),
+        *join_parts("_got_value"),
         F.min("_from").alias("_from"),
         F.max("_to").alias("_to"),
         F.max(n).alias("_busiest"),
@@ -116,11 +116,7 @@ def _account_days(transactions: DataFrame) -> DataFrame:
 
 
 def _total_columns(as_of: str) -> list[Column]:
-    def total(column: str, zero: float) -> Column:
-        return F.coalesce(F.sum(column), F.lit(zero))
-
     count = F.sum("_sent_n") + F.sum("_got_n")
-    volume = total("_sent_value", 0.0) + total("_got_value", 0.0)
     first = F.min("_from")
     age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(first)
     active = F.greatest(count_where(F.col("_sent_n") > 0), count_where(F.col("_got_n") > 0))
@@ -129,18 +125,29 @@ def _total_columns(as_of: str) -> list[Column]:
         count.alias("tx_count"),
         F.sum("_sent_n").alias("tx_count_sent"),
         F.sum("_got_n").alias("tx_count_received"),
-        total("_sent_value", 0.0).alias("total_value_sent_eth"),
-        total("_got_value", 0.0).alias("total_value_received_eth"),
-        safe_divide(volume, count).alias("avg_value_per_tx"),
+        *add_limbs("_sent_value"),
+        *add_limbs("_got_value"),
         first.alias("first_tx_timestamp"),
         F.max("_to").alias("last_tx_timestamp"),
         active.alias("active_days"),
         F.floor(age / F.lit(86_400_000_000)).cast("long").alias("days_since_first_tx"),
         F.coalesce(gas, F.lit(0.0)).alias("avg_gas_price"),
-        total("_cost", 0.0).alias("total_gas_spent_eth"),
+        F.coalesce(F.sum("_cost"), F.lit(0.0)).alias("total_gas_spent_eth"),
     ]
 
 
+def _with_volumes(totals: DataFrame) -> DataFrame:
+    """Settle the sums of wei; each becomes units of ether by one division."""
+    pairs = {"_volume": total("_sent_value", "_got_value"), "_sent": total("_sent_value"), "_got": total("_got_value")}
+    return totals.withColumns(pairs).withColumns(
+        {
+            "total_value_sent_eth": in_units("_sent"),
+            "total_value_received_eth": in_units("_got"),
+            "avg_value_per_tx": safe_divide(in_units("_volume"), F.col("tx_count")),
+        }
+    )
+
+
 def _rhythm_columns() -> list[Column]:
     n = F.col("_sent_n") + F.col("_got_n")
     total = F.sum(n).cast("double")
@@ -167,8 +174,7 @@ def _partners(transactions: DataFrame) -> DataFrame:
 
 
 def _qualified(totals: DataFrame, min_tx: int, min_eth: float) -> DataFrame:
-    volume = F.col("total_value_sent_eth") + F.col("total_value_received_eth")
-    return totals.where((F.col("tx_count") >= min_tx) & (volume >= min_eth))
+    return totals.where((F.col("tx_count") >= min_tx) & (F.col("_volume") >= pair_of(min_eth)))
 
 
 STAGED_COLUMNS = [
@@ -205,11 +211,12 @@ def stage_transactions(
 ) -> DataFrame:
     """Transaction statistics per account over the window, successful only.
 
+    Values are summed and compared in wei (``value``, or ``value_eth`` of an extract).
     Distinct days and counterparties come from pre-aggregated pairs instead of
     distinct aggregates, which would multiply the ledger rows.
     """
     good = _recent_success(transactions, as_of, days, "receipt_status")
-    totals = _account_days(good).groupBy(KEY).agg(*_total_columns(as_of))
+    totals = _with_volumes(_account_days(good).groupBy(KEY).agg(*_total_columns(as_of)))
     kept = _qualified(totals, min_tx, min_eth)
     return _with_partners(kept, good).select(*STAGED_COLUMNS)
 
@@ -358,7 +365,7 @@ def behavioural_features(
     window = {"as_of": as_of, "days": days}
     good = _recent_success(transactions, as_of, days, "receipt_status")
     # Totals and rhythm share one pass, counterparties and concentration another.
-    both = _account_days(good).groupBy(KEY).agg(*_total_columns(as_of), *_rhythm_columns())
+    both = _with_volumes(_account_days(good).groupBy(KEY).agg(*_total_columns(as_of), *_rhythm_columns()))
     base = _with_partners(_qualified(both, min_tx, min_eth), good)
     joined = (
         holds_code(base, contracts)
@@ -405,13 +412,28 @@ SCORED = [
 ]
 
 
-def feature_mart(features: DataFrame, *, as_of: str, days: int = 90) -> DataFrame:
+#: Features that are NULL where their denominator is zero.
+GAPPED = [
+    "median_value_per_tx",
+    "tx_frequency_per_day",
+    "activity_regularity",
+    "value_velocity",
+    "weekend_vs_weekday_ratio",
+    "dex_to_total_ratio",
+    "lending_to_total_ratio",
+]
+
+
+def feature_mart(features: DataFrame, *, as_of: str, days: int = 90, fill: bool = True) -> DataFrame:
     """Z-scores of the feature table plus run metadata; a constant gives NULL.
 
-    The features are read twice, for the moments and for the scores, so they
-    are stored first.
+    Gaps are filled with the feature's median first, unless ``fill`` is off: then a
+    gap has no score. The features are read several times, for the medians, the
+    moments and the scores, so they are stored first.
     """
     features = settle(features)
+    if fill:
+        features = settle(impute(features, [c for c in SCORED if c in GAPPED]))
     kept = [
         KEY,
         "is_contract",

@@ -87,6 +87,10 @@ VIEWS = {
         't' || (k % 10) AS token_address, value AS raw_value, k % 10 < 7 AS is_erc20, k % 10 >= 7 AS is_erc721,
         event_id FROM ev""",
     ),
+    "src_tx": (
+        "tx",
+        "SELECT *, CAST(round(value_eth * 100) AS HUGEINT) * 10000000000000000 AS wei FROM tx",
+    ),
     "src_tt": (
         "tt",
         """SELECT *, CASE WHEN event_id % 10 = 5 THEN NULL ELSE CAST(floor(raw_value) AS BIGINT) % 4 END AS amount

@@ -111,12 +111,12 @@ SQL_VARIANTS = {
 
 def _window_part(v: Views, short: str) -> DataFrame:
     if short in ("f1", "f2", "f11"):
-        return staging.window_pace(staging.stage_transactions(v.tx, **WINDOW))
+        return staging.window_pace(staging.stage_transactions(v.source_transactions, **WINDOW))
     if short in ("f8", "f9"):
         return staging.call_shares(staging.stage_contract_calls(v.source_traces, **WINDOW, book=book("c")))
     if short == "f10":
-        return staging.sent_concentration(v.tx, **WINDOW)
-    return staging.window_rhythm(v.tx, **WINDOW)
+        return staging.sent_concentration(v.source_transactions, **WINDOW)
+    return staging.window_rhythm(v.source_transactions, **WINDOW)
 
 
 def _register_window(short: str) -> None:
@@ -126,7 +126,7 @@ def _register_window(short: str) -> None:
     start = STAGE_CI if calls else f"{STAGE_TX}, {RHYTHM}"
     check = f"{start} SELECT wallet_address, {r(expression, column)} FROM {source}"
 
-    @query(f"{short}_{column}_sql", check, "ci" if calls else "tx")
+    @query(f"{short}_{column}_sql", check, "ci" if calls else "src_tx")
     def _(v: Views):
         return _window_part(v, short).select(KEY, column)
 

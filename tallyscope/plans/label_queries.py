@@ -94,13 +94,19 @@ def _(v: Views):
     return labels.label_mev_bots(blocks(v), **LIMITS["mev_bot"])
 
 
+def spelled(df: DataFrame) -> DataFrame:
+    """Every third row with its addresses in capitals, as sources with checksummed addresses have them."""
+    capital = F.pmod(F.crc32("transaction_hash"), F.lit(3)) == 0
+    return df.withColumns({c: F.when(capital, F.upper(c)).otherwise(F.col(c)) for c in ("from_address", "to_address")})
+
+
 TRACES = f"""tr AS (SELECT from_address AS address, count(*) AS trace_mev_tx FROM ci
     WHERE call_type = 'call' AND k < 20 AND {EXCLUDED} GROUP BY 1 HAVING count(*) >= 15)"""
 
 
 @query("l3_trace_candidates", f"{TRACES} SELECT address, trace_mev_tx FROM tr", "ci")
 def _(v: Views):
-    return labels.trace_candidates(v.source_traces, book("c")["dex"], min_calls=15, excluded=PROTOCOLS)
+    return labels.trace_candidates(spelled(v.source_traces), book("c")["dex"], min_calls=15, excluded=PROTOCOLS)
 
 
 @query(
@@ -217,7 +223,7 @@ def _(v: Views):
     frames = [
         labels.label_mev_bots_with_traces(
             labels.block_stats(v.tx, book("w")["dex"], PROTOCOLS, **WINDOW),
-            v.source_traces, dex, min_calls=15, excluded=PROTOCOLS, **WINDOW, **LIMITS["mev_bot"],
+            spelled(v.source_traces), dex, min_calls=15, excluded=PROTOCOLS, **WINDOW, **LIMITS["mev_bot"],
         ),
         labels.label_dex_heavy_transactions(
             v.tx, book("w")["dex"], min_tx=15, min_share=0.25, excluded=PROTOCOLS, **WINDOW

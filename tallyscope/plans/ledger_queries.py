@@ -327,27 +327,27 @@ SAMPLE = {"min_tx": 10, "min_eth": 1000.0, "max_accounts": 90}
 
 @query(
     "m1_account_sample",
-    f"""q AS (SELECT wallet_address, count(*) AS tx_count, sum(value_eth) AS total_eth FROM (
-        SELECT from_address AS wallet_address, value_eth FROM tx WHERE {RECENT}
-        UNION ALL SELECT to_address, value_eth FROM tx WHERE {RECENT}) GROUP BY 1
-        HAVING count(*) >= 10 AND sum(value_eth) >= 1000),
-    t AS (SELECT *, ntile(3) OVER (ORDER BY round(total_eth, 9) DESC, wallet_address) AS tier FROM q),
+    f"""q AS (SELECT wallet_address, count(*) AS tx_count, sum(wei) AS total FROM (
+        SELECT from_address AS wallet_address, wei FROM src_tx WHERE {RECENT}
+        UNION ALL SELECT to_address, wei FROM src_tx WHERE {RECENT}) GROUP BY 1
+        HAVING count(*) >= 10 AND sum(wei) >= CAST(1000 AS HUGEINT) * 1000000000000000000),
+    t AS (SELECT *, ntile(3) OVER (ORDER BY total DESC, wallet_address) AS tier FROM q),
     n AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5(wallet_address), wallet_address) AS rn FROM t)
-    SELECT wallet_address, tx_count, {r('total_eth', 'total_eth')} FROM n WHERE rn <= 30""",
-    "tx",
+    SELECT wallet_address, tx_count, {r('total / 1e18', 'total_eth')} FROM n WHERE rn <= 30""",
+    "src_tx",
 )
 def _(v: Views):
-    return staging.sample_accounts(v.tx, **WINDOW, **SAMPLE)
+    return staging.sample_accounts(v.source_transactions, **WINDOW, **SAMPLE)
 
 
-STAGE_TX = f"""good AS (SELECT * FROM tx WHERE receipt_status = 1 AND {RECENT}),
+STAGE_TX = f"""good AS (SELECT * FROM src_tx WHERE receipt_status = 1 AND {RECENT}),
 sides AS (SELECT from_address AS a, to_address AS o, true AS s, * FROM good
     UNION ALL SELECT to_address, from_address, false, * FROM good),
 stx AS (SELECT a AS wallet_address, count(*) AS tx_count, count(*) FILTER (s) AS tx_count_sent,
     count(*) FILTER (NOT s) AS tx_count_received,
-    coalesce(sum(value_eth) FILTER (s), 0) AS total_value_sent_eth,
-    coalesce(sum(value_eth) FILTER (NOT s), 0) AS total_value_received_eth,
-    sum(value_eth) / count(*) AS avg_value_per_tx,
+    coalesce(sum(wei) FILTER (s) / 1e18, 0) AS total_value_sent_eth,
+    coalesce(sum(wei) FILTER (NOT s) / 1e18, 0) AS total_value_received_eth,
+    sum(wei) / 1e18 / count(*) AS avg_value_per_tx,
     min(block_timestamp) AS first_tx_timestamp, max(block_timestamp) AS last_tx_timestamp,
     greatest(count(DISTINCT CASE WHEN s THEN CAST(block_timestamp AS DATE) END),
         count(DISTINCT CASE WHEN NOT s THEN CAST(block_timestamp AS DATE) END)) AS active_days,
@@ -355,9 +355,9 @@ stx AS (SELECT a AS wallet_address, count(*) AS tx_count, count(*) FILTER (s) AS
     count(DISTINCT CASE WHEN s THEN o END) + count(DISTINCT CASE WHEN NOT s THEN o END) AS unique_counterparties,
     coalesce(avg(gas_price) FILTER (s), 0) AS avg_gas_price,
     coalesce(sum(21000.0 * gas_price / 1e18) FILTER (s), 0) AS total_gas_spent_eth,
-    quantile_disc(value_eth, 0.5) AS median_value_per_tx
+    quantile_disc(wei, 0.5) / 1e18 AS median_value_per_tx
     FROM sides GROUP BY a
-    HAVING count(*) >= 10 AND sum(value_eth) >= 1)"""
+    HAVING count(*) >= 10 AND sum(wei) >= CAST(1000000000000000000 AS HUGEINT))"""
 
 STAGE_TT = f"""kinds AS (SELECT wallet_address, s, token_address, erc20, count(*) AS n FROM (
         SELECT from_address AS wallet_address, true AS s, token_address, coalesce(amount > 1, false) AS erc20
@@ -393,9 +393,9 @@ TT_COUNTS = staging.TOKEN_COLUMNS[:3]
 TT_NUMBERS = staging.TOKEN_COLUMNS[3:]
 
 
-@query("m2_staged_transactions", f"{STAGE_TX} SELECT {TX_OUT} FROM stx", "tx")
+@query("m2_staged_transactions", f"{STAGE_TX} SELECT {TX_OUT} FROM stx", "src_tx")
 def _(v: Views):
-    return staging.stage_transactions(v.tx, **WINDOW)
+    return staging.stage_transactions(v.source_transactions, **WINDOW)
 
 
 @query(
@@ -444,7 +444,7 @@ WHOLE = TX_COUNTS + TT_COUNTS + staging.CALL_COLUMNS
 
 def feature_table(v: Views):
     return staging.behavioural_features(
-        v.tx, v.source_transfers, v.source_traces, v.contracts, **WINDOW, book=book("c")
+        v.source_transactions, v.source_transfers, v.source_traces, v.contracts, **WINDOW, book=book("c")
     )
 
 
@@ -452,7 +452,7 @@ def feature_table(v: Views):
     "m5_behavioural_features",
     f"""{FEATURE_TABLE} SELECT wallet_address, is_contract, {', '.join(TX_TIMES)}, {', '.join(WHOLE)},
     {', '.join(r(c, c) for c in TX_NUMBERS + TT_NUMBERS + DERIVED)} FROM bf""",
-    "tx src_tt ci contracts",
+    "src_tx src_tt ci contracts",
 )
 def _(v: Views):
     return feature_table(v)
@@ -465,9 +465,11 @@ _Z = ", ".join(
 
 @query(
     "m6_feature_mart",
-    f"""{FEATURE_TABLE} SELECT wallet_address, is_contract, {', '.join(TX_TIMES)}, tx_count, tx_count_sent,
-    tx_count_received, {_Z}, TIMESTAMP '{AS_OF}' AS feature_computed_at, {DAYS} AS sample_window_days FROM bf""",
-    "tx src_tt ci contracts",
+    f"""{FEATURE_TABLE}, filled AS (SELECT * REPLACE ({', '.join(
+        f'coalesce({c}, median({c}) OVER ()) AS {c}' for c in staging.GAPPED)}) FROM bf)
+    SELECT wallet_address, is_contract, {', '.join(TX_TIMES)}, tx_count, tx_count_sent,
+    tx_count_received, {_Z}, TIMESTAMP '{AS_OF}' AS feature_computed_at, {DAYS} AS sample_window_days FROM filled""",
+    "src_tx src_tt ci contracts",
 )
 def _(v: Views):
     return staging.feature_mart(feature_table(v), **WINDOW)
@@ -475,13 +477,13 @@ def _(v: Views):
 
 @query(
     "a3_median_value",
-    f"""SELECT wallet_address, {r('quantile_disc(value_eth, 0.5)', 'median_value_per_tx')} FROM (
-    SELECT from_address AS wallet_address, value_eth FROM tx UNION ALL SELECT to_address, value_eth FROM tx)
+    f"""SELECT wallet_address, {r('quantile_disc(wei, 0.5) / 1e18', 'median_value_per_tx')} FROM (
+    SELECT from_address AS wallet_address, wei FROM src_tx UNION ALL SELECT to_address, wei FROM src_tx)
     GROUP BY 1""",
-    "tx",
+    "src_tx",
 )
 def _(v: Views):
-    return staging.median_value(v.tx)
+    return staging.median_value(v.source_transactions)
 
 
 _STATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -503,19 +505,22 @@ def _(v: Views):
 
 
 def _tables(v: Views):
+    staged = {
+        "stg_wallet_transactions": staging.stage_transactions(v.source_transactions, **WINDOW),
+        "stg_wallet_token_activity": staging.stage_token_activity(v.source_transfers, **WINDOW),
+        "stg_wallet_contract_interactions": staging.stage_contract_calls(v.source_traces, **WINDOW, book=book("c")),
+    }
     return {
         "transactions": v.source_transactions,
         "token_transfers": v.source_transfers,
         "traces": v.source_traces,
         "contracts": v.contracts,
-        "stg_wallet_transactions": staging.stage_transactions(v.tx, **WINDOW),
-        "stg_wallet_token_activity": staging.stage_token_activity(v.source_transfers, **WINDOW),
-        "stg_wallet_contract_interactions": staging.stage_contract_calls(v.source_traces, **WINDOW, book=book("c")),
+        **staged,
     }
 
 
 _CHECKED = {
-    "transactions": "(SELECT *, value_eth AS value FROM tx)",
+    "transactions": "(SELECT *, wei AS value FROM src_tx)",
     "token_transfers": "src_tt",
     "traces": "ci",
     "contracts": "contracts",
@@ -533,7 +538,7 @@ _CHECKED = {
         for t, source in _CHECKED.items()
         for c in quality.NOT_NULL[t]
     ),
-    "tx src_tt ci contracts",
+    "src_tx src_tt ci contracts",
 )
 def _(v: Views):
     return quality.not_null_report(_tables(v))
@@ -547,7 +552,7 @@ def _(v: Views):
         FROM (SELECT {c}, count(*) AS n FROM {_CHECKED[t]} WHERE {c} IS NOT NULL GROUP BY 1)"""
         for t, c in quality.UNIQUE.items()
     ),
-    "tx src_tt ci contracts",
+    "src_tx src_tt ci contracts",
 )
 def _(v: Views):
     return quality.unique_report(_tables(v))

@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,13 +163,13 @@ def test_median_of_a_hot_account(spark):
     # The account "a" has 60,001 values, more than a sketch of 10,000 keeps apart.
     tx = spark.range(60_001).select(
         F.lit("a").alias("from_address"), F.concat(F.lit("b"), F.col("id") % 7).alias("to_address"),
-        F.pow(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double"), F.lit(2.0)).alias("value_eth"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("decimal(38,0)").alias("value"),
     )
-    found = {r[0]: r[1] for r in staging.median_value(tx).collect()}
+    found = {r[0]: round(r[1] * 1e18) for r in staging.median_value(tx).collect()}
     members = {}
     for r in tx.collect():
         for k in (r.from_address, r.to_address):
-            members.setdefault(k, []).append(r.value_eth)
+            members.setdefault(k, []).append(int(r.value))
     assert found == {k: statistics.median_low(x) for k, x in members.items()}
 
 
@@ -191,3 +192,68 @@ def test_best_row(spark):
     df = spark.createDataFrame(rows, "k string, t int, i int, x double")
     found = {r["k"]: r["i"] for r in groups.best_row(df, ["k"], F.struct("x", "i")).collect()}
     assert found == {k: max(m, key=lambda r: (r[3], r[2]))[2] for k, m in by_key(rows).items()}
+
+
+@pytest.mark.parametrize("limit", [0, 7, 100_000])
+def test_exact_ranks_by_sorting_and_by_chunks(chunked, limit):
+    rng = random.Random(limit)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(9)}", rng.choice((None, *range(40)))) for _ in range(2_000)]
+    rows += [("one", 4), ("none", None)]
+    df = chunked.createDataFrame(rows, "k string, x int")
+    found = {r["k"]: r["q"] for r in groups.exact_ranks(df, ["k"], "x", ["1", "(_all + 2) div 2", "_all"], "q", limit=limit).collect()}
+    assert len(found) == len(by_key(rows))
+    for key, members in by_key(rows).items():
+        v = sorted(x for _, x in members if x is not None)
+        assert found[key] == ([v[0], v[(len(v) + 2) // 2 - 1], v[-1]] if v else [None] * 3)
+
+
+@pytest.mark.parametrize("rows", [1, 40, 10_000])
+def test_time_chunks_follow_the_time(chunked, rows):
+    rng = random.Random(rows)
+    data = [("hot" if rng.random() < 0.66 else None if rng.random() < 0.5 else "k", rng.choice((None, rng.randrange(400_000))), i) for i in range(600)]
+    df = chunked.createDataFrame(data, "k string, s int, i int").withColumn("ts", F.timestamp_seconds("s"))
+    out = groups.time_chunks(df, ["k"], "ts", rows=rows).collect()
+    assert sorted(r.i for r in out) == list(range(600))
+    for key in ("hot", None, "k"):
+        mine = sorted(((r.s is not None, r.s or 0), r[groups.CHUNK]) for r in out if r.k == key)
+        assert [c for _, c in mine] == sorted(c for _, c in mine)
+        assert len({c for _, c in mine}) == 1 or rows < 10_000
+    if rows == 40:
+        assert len({r[groups.CHUNK] for r in out if r.k == "hot"}) > 5
+
+
+def test_heavy_keys_miss_none(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 10 == 1, "b").otherwise(F.col("id").cast("string")).alias("k"))
+    found = {r.k for r in groups.heavy_keys(df, "k", 0.05).collect()}
+    assert found == {"a", "b"}
+    assert groups.heavy_keys(df.where("false"), "k", 0.05).count() == 0
+
+
+def test_sums_of_wei_are_exact(spark):
+    from tallyscope.functions import wei
+
+    rng = random.Random(8)
+    amounts = [10**37] * 2_000 + [rng.randrange(10 ** rng.randint(1, 38)) * rng.choice((1, 1, -1)) for _ in range(3_000)] + [10**38 - 1, 0]
+    df = spark.createDataFrame([(k % 3, Decimal(a)) for k, a in enumerate(amounts)] + [(7, None)], "g int, value decimal(38,0)")
+    rows, parts = wei.with_parts(df)
+    first = rows.groupBy("g", F.pmod(F.col("_part0"), F.lit(5)).alias("p")).agg(*wei.part_sums(parts, "s"))
+    second = first.groupBy("g", "p").agg(*wei.join_parts("s"))
+    third = second.groupBy("g").agg(*wei.add_limbs("s"))
+    got = {r.g: r for r in third.withColumn("t", wei.total("s")).withColumn("u", wei.in_units("t")).withColumn("more", F.col("t") > wei.pair_of("1.5")).collect()}
+    for g in range(3):
+        want = sum(a for k, a in enumerate(amounts) if k % 3 == g)
+        assert int(got[g].t.high) * 10**18 + int(got[g].t.low) == want and 0 <= got[g].t.low < 10**18
+        assert got[g].u == pytest.approx(want / 10**18, rel=1e-15) and got[g].more == (want > 15 * 10**17)
+    assert (got[7].t.high, got[7].t.low) == (0, 0)
+    assert spark.createDataFrame([(1234.5678901234,), (1e-9,)], "value_eth double").select(wei.wei(spark.createDataFrame([(1.0,)], "value_eth double"))).collect()[0][0] == 1234567890123400000000
+
+
+def test_sample_ranks_by_exact_wei(spark):
+    """Sums that are equal as doubles but not in wei are ranked by wei."""
+    from tallyscope.operators import staging
+
+    rows = [(f"a{k}", "sink", Decimal(10**37 + k)) for k in range(9) for _ in range(300)]
+    tx = spark.createDataFrame([(f"h{i}", *r, "2024-01-30 00:00:00") for i, r in enumerate(rows)], "hash string, from_address string, to_address string, value decimal(38,0), t string")
+    tx = tx.withColumn("block_timestamp", F.col("t").cast("timestamp"))
+    found = [r.wallet_address for r in staging.sample_accounts(tx, as_of="2024-01-31 00:00:00", max_accounts=30).collect()]
+    assert found == ["sink"] + [f"a{k}" for k in reversed(range(9))]

@@ -78,3 +78,10 @@ def test_warehouse_rules_have_no_limit_and_push_their_window(spark, tmp_path):
 def test_registry_counts_add_up(spark):
     rows = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", "s2")], "address string, source string")
     assert {tuple(r) for r in registry.counts_by_source(rows).collect()} == {("s1", 2), ("s2", 1), ("total_registry_size", 3)}
+
+
+def test_trace_candidates_fold_addresses(spark):
+    rows = [("0xAbC", "0xROUTER", "call", 1)] * 12 + [("0xabc", "0xrouter", "call", 1)] * 13 + [("0xEXCLUDED", "0xRouter", "call", 1)] * 30
+    traces = spark.createDataFrame(rows, "from_address string, to_address string, call_type string, k int")
+    found = labels.trace_candidates(traces, ["0xRouter"], excluded=["0xExcluded"])
+    assert [tuple(r) for r in found.collect()] == [("0xabc", 25)]
