@@ -30,8 +30,8 @@ from tallyscope.session import checkpoint_root, settle
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Pieces after which a worker keeps only those that it meets again.
-REMEMBERED = 400_000
+#: Pieces after which a worker forgets them, about 40 bytes each.
+REMEMBERED = 1_000_000
 SLICE_BYTES = 2 << 20
 LIBRARY_BATCH = 4_096
 
@@ -40,6 +40,67 @@ _PLAIN = re.compile(r"[\w ,.\n]*")
 _NEIGHBOURS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\n,", "\n.", ",,", "..", ",.", ".,")
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_MARK = re.compile(r"([A-Za-z])([!-&(-/:-@\[-`{-~])")
+
+
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_SEPARATORS = np.zeros(256, dtype=bool)
+_SEPARATORS[[0x20, 0x2C, 0x2E, 0x0A]] = True
+
+
+@cache
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        every = np.full(length, base, dtype=np.uint64)
+        every[0] = 1
+        out.append(np.cumprod(every, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every stretch of bytes, from one running sum over all of them."""
+    power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` with these starts and sizes, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+class Pieces:
+    """Coded pieces in flat arrays, found by hash and checked by their bytes."""
+
+    def __init__(self, kind: np.dtype):
+        self.hashes, self.rows = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.bytes, self.byte_ends = np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+        self.ids, self.id_ends = np.empty(0, dtype=kind), np.zeros(1, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 for unknown ones."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.where(self.hashes[at] == hashes, self.rows[at], -1)
+
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+        """Further pieces in rising order of their hashes."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.rows = np.insert(self.rows, at, len(self) + np.arange(len(hashes)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        width = self.ids.itemsize
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(texts), dtype=np.uint8)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype=self.ids.dtype)])
+        self.byte_ends = np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum([len(t) for t in texts])])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(i) // width for i in ids])])
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -77,55 +138,109 @@ class Encoder:
             [len(added[i].encode()) if i in added else len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64
         )
         self.added = list(added.values())
-        # Pieces seen lately, and those of the time before.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Pieces(self.kind)
+
+    def _marked(self, text: str) -> tuple[int, str]:
+        """How a text is cut into pieces that the tokenizer treats each for itself.
 
-    def _stretches(self, text: str) -> list[str]:
-        """Pieces of the text that the tokenizer treats each for itself; together they are the text."""
+        0: before each space, comma, full stop and line feed, and after a line feed;
+        1: where a NUL was put in; 2: not at all.
+        """
         if _PLAIN.fullmatch(text) and "_" not in text and not any(x in text for x in _NEIGHBOURS):
-            # Words, and single marks and line feeds that follow a word.
-            marked = text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0")
-            return marked.split("\0")
-        if any(x in text for x in self.added):
-            return [text]
-        words = _CUT.split(text) if _RUN.search(text) else text.split(" ")
-        return [words[0], *[f" {w}" for w in words[1:]]]
-
-    def _remember(self, new: list[str]) -> None:
-        """Encode pieces. Those from a space to a character that is none go to the library many in one text."""
-        encode, known, width = self.library.encode_batch_fast, self.known, self.kind.itemsize
-        chained = [w for w in new if len(w) > 1 and w[0] == " " and not w[-1].isspace()]
+            return 0, text  # words, and single marks and line feeds that follow a word
+        if "\0" in text or any(x in text for x in self.added):
+            return 2, text
+        # Letters end before a mark (but an apostrophe), whatever follows.
+        marked = _MARK.sub("\\1\0\\2", text)
+        return 1, _CUT.sub("\0 ", marked) if _RUN.search(text) else marked.replace(" ", "\0 ")
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces. Those from a space to a character that is none go to the library many in one text."""
+        encode, width = self.library.encode_batch_fast, self.kind.itemsize
+        out: list[bytes] = [b""] * len(new)
+        chained = [k for k, w in enumerate(new) if len(w) > 1 and w[0] == " " and not w[-1].isspace()]
         for k in range(0, len(chained), LIBRARY_BATCH):
             part = chained[k : k + LIBRARY_BATCH]
-            ids = np.array(encode(["".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            ends = np.cumsum([len(w.encode()) for w in part])
+            words = [new[j] for j in part]
+            ids = np.array(encode(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.cumsum([len(w.encode()) for w in words])
             cuts = (width * np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right")).tolist()
             raw = ids.tobytes()
-            known.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        single = [w for w in new if not (len(w) > 1 and w[0] == " " and not w[-1].isspace())]
+            for j, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                out[j] = raw[a:b]
+        chosen = set(chained)
+        single = [k for k in range(len(new)) if k not in chosen]
         for k in range(0, len(single), LIBRARY_BATCH):
             part = single[k : k + LIBRARY_BATCH]
-            for word, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, dtype=self.kind).tobytes()
+            for j, e in zip(part, encode([new[j] for j in part], add_special_tokens=False), strict=True):
+                out[j] = np.array(e.ids, dtype=self.kind).tobytes()
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+
+    def _by_pieces(self, texts: list[str], plain: bool) -> list[bytes]:
+        """The ids of texts that are cut in one of the two ways; every distinct piece is looked up once."""
+        raw = [t.encode() for t in texts]
+        text_ends = np.cumsum([len(r) for r in raw])
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        first = np.zeros(len(data) + 1, dtype=bool)
+        first[0] = True
+        first[text_ends] = True
+        if plain:
+            first[:-1] |= _SEPARATORS[data]
+            first[1:] |= data == 0x0A
+            bounds = np.flatnonzero(first)
+            starts, ends = bounds[:-1], bounds[1:]
+        else:
+            first[1:] |= data == 0
+            bounds = np.flatnonzero(first)
+            starts, ends = bounds[:-1], bounds[1:]
+            ends = ends - (data[ends - 1] == 0)  # without the mark itself
+        sizes = ends - starts
+        hashes, at, which = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.known = Pieces(self.kind)
+        rows = self.known.find(hashes)
+        # Equal hashes must mean equal bytes, here and with what is known.
+        fine = (sizes[at][which] == sizes).all() and (gather(data, starts[at][which], sizes) == gather(data, starts, sizes)).all()
+        hit = np.flatnonzero(rows >= 0)
+        begin = self.known.byte_ends[rows[hit]]
+        held = self.known.byte_ends[rows[hit] + 1] - begin
+        fine = fine and (held == sizes[at[hit]]).all()
+        if not (fine and (gather(self.known.bytes, begin, held) == gather(data, starts[at[hit]], held)).all()):
+            return self._whole([t if plain else t.replace("\0", "") for t in texts])
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            pieces = [joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            self.known.add(hashes[new], pieces, self._encode([p.decode() for p in pieces]))
+            rows = self.known.find(hashes)
+        row = rows[which]
+        begin = self.known.id_ends[row]
+        counts = self.known.id_ends[row + 1] - begin
+        ids = gather(self.known.ids, begin, counts)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        cuts = upto[np.searchsorted(starts, text_ends)] * self.kind.itemsize
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
         if not self.by_stretch:
-            found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-        pieces = [self._stretches(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        new -= self.known.keys()
-        again = new & self.older.keys()
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._remember(list(new - again))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+            return self._whole(texts)
+        marked = [self._marked(t) for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        for way in range(3):
+            here = [k for k, (w, _) in enumerate(marked) if w == way]
+            chosen = [marked[k][1] for k in here]
+            if here:
+                for k, raw in zip(here, self._whole(chosen) if way == 2 else self._by_pieces(chosen, way == 0), strict=True):
+                    out[k] = raw
+        return out
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
         """(start, end) in characters of every token of each text.
