@@ -407,22 +407,45 @@ def jaccard_classes(
     n-grams is ``percent`` hundredths or more; a class is what links reach, named by
     its smallest key. Words are what stands between ASCII white space, A-Z in lower
     case. A text of fewer words is one n-gram; NULL, empty and blank texts have
-    none, link with nothing and stand alone. Rows that repeat a key are one
-    document; a row without a key gets its set's size and the class of its text, if
-    a row with a key has that text, else NULL. Other columns are ignored. Sets are
-    compared by 64-bit hashes of their elements.
+    none, link with nothing and stand alone. Rows that repeat a key and its text are
+    one document; each other text of a key is a document of its own, whose class is
+    also named by the smallest key in it. A row without a key gets its set's size and
+    the class of its text, if a row with a key has that text, else NULL. Other columns
+    are ignored. Sets are compared by 64-bit hashes of their elements.
     """
+    found = _classes(docs, key, text, words, percent)
+    return found.drop("_hash")
+
+
+def _nodes(members: DataFrame) -> tuple[DataFrame, bool]:
+    """Add ``_node``: the id, or a number below all of 62 bits for further texts of an id; and whether there are such."""
+    texts = members.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last"))
+    several = settle(texts.where("_first <> _last").select("_id", "_first"))
+    if several.isEmpty():
+        return members.withColumn("_node", F.col("_id")), False
+    further = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("_id", "_hash"), F.lit(1 << 61))
+    own = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_hash")), F.col("_id")).otherwise(further)
+    return attach(members, several, "_id").withColumn("_node", own).drop("_first"), True
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The result of ``jaccard_classes`` with each row's ``_hash``, the checksum of its text."""
     ready(docs.sparkSession)
     # Equal texts first: one representative each, the smallest key.
     known = docs.select(F.col(f"`{key}`").cast("bigint").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     known = known.withColumn("_hash", F.md5(F.col("_text").cast("binary")))
     members = settle(known.select("_id", "_hash"))
-    classes = members.groupBy("_hash").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"))
-    repeated = settle(classes.where("_n > 1").select("_hash", F.col("_rep").alias("_first")))
+    members, several = _nodes(members)
+    # Rows without a key stand for a text only if no other row has it.
+    least = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_node")))
+    classes = members.groupBy("_hash").agg(least.alias("_least"), F.count(F.lit(1)).alias("_n"))
+    repeated = settle(classes.where("_n > 1").select("_hash", F.col("_least._node").alias("_first"), F.col("_least._id").alias("_first_id")))
     # All rows whose text has an earlier row; the others stand for their text.
-    members = attach(members, repeated, "_hash").withColumn("_rep", F.coalesce("_first", "_id")).drop("_first")
-    copies = settle(members.where("_id <> _rep").select("_id"))
-    reps = drop_keys(known.where(F.col("_id").isNotNull()).select("_id", "_text"), copies, "_id")
+    members = attach(members, repeated, "_hash").withColumn("_rep", F.coalesce("_first", "_node")).withColumn("_rep_id", F.coalesce("_first_id", "_id"))
+    members = members.drop("_first", "_first_id")
+    copies = settle(members.where("_node <> _rep").select("_node"))
+    known = _with_nodes(known, members) if several else known.withColumn("_node", F.col("_id"))
+    reps = drop_keys(known.where(F.col("_id").isNotNull()).select("_node", "_text"), copies, "_node").select(F.col("_node").alias("_id"), "_text")
 
     rows = settle(reps.mapInArrow(_candidate_rows(percent, words), "kind tinyint, a bigint, b bigint"))
     shared = (
@@ -434,17 +457,35 @@ def jaccard_classes(
     candidates = connected_components(rows.where("kind = 1").select("a", "b").union(settle(shared)))
     candidates = candidates.join(sizes.withColumnRenamed("n_shingles", "size"), F.col("node") == F.col("_rep")).drop("_rep")
     links = connected_components(settle(_verified(reps, settle(candidates), percent, words)))
+    if several:
+        links = _named_by_id(links, members)
 
     found = sizes.join(links, F.col("_rep") == F.col("node"), "left").drop("node")
     out = attach(members.where(F.col("_rep").isNotNull()), settle(found), "_rep")
     blank = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
-    own = F.when(blank, F.col("_id")).otherwise(F.coalesce("component", "_rep"))
-    named = out.select(F.col("_id").alias(key), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), own.alias("component_id"))
+    own = F.when(blank, F.col("_id")).otherwise(F.coalesce("component", "_rep_id"))
+    named = out.select(F.col("_id").alias(key), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), own.alias("component_id"), "_hash")
     # Texts that only rows without a key have.
     rest = members.where(F.col("_rep").isNull()).select("_hash")
     return named if rest.isEmpty() else named.union(_without_key(docs, text, members, key, words))
 
 
+def _with_nodes(known: DataFrame, members: DataFrame) -> DataFrame:
+    """The nodes of ``members`` for the rows with their texts, by id and text."""
+    row = F.concat_ws(":", F.col("_id").cast("string"), "_hash")
+    further = settle(members.where("_node <> _id").select(row.alias("_row"), "_node").distinct())
+    joined = attach(known.withColumn("_row", row), further, "_row")
+    return joined.withColumn("_node", F.coalesce("_node", "_id")).drop("_row")
+
+
+def _named_by_id(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Components named by the smallest id among their nodes instead of the smallest node."""
+    ids = settle(members.where("_node <> _id").select(F.col("_node").alias("node"), "_id").distinct())
+    named = settle(attach(links, ids, "node").withColumn("_id", F.coalesce("_id", "node")))
+    least = settle(named.groupBy("component").agg(F.min("_id").alias("_least")))
+    return attach(named, least, "component").select("node", F.col("_least").alias("component"))
+
+
 def _without_key(docs: DataFrame, text: str, members: DataFrame, key: str, words: int) -> DataFrame:
     @F.arrow_udf("bigint")
     def size(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -455,7 +496,7 @@ def _without_key(docs: DataFrame, text: str, members: DataFrame, key: str, words
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     rows = rows.where(F.col(f"`{key}`").isNull()).withColumn("_hash", F.md5(F.col("_text").cast("binary")))
     rows = attach(rows, lone.withColumn("_lone", F.lit(True)), "_hash").where("_lone")
-    return rows.select(key, size("_text").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    return rows.select(key, size("_text").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), "_hash")
 
 
 _SETS = r"""
@@ -492,10 +533,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def class_heads(docs: DataFrame, **options) -> DataFrame:
-    """The document of each class with the smallest id, unchanged."""
-    key = options.get("key", "doc_id")
-    found = jaccard_classes(docs, **options)
-    losers = settle(found.where(F.col(key) != F.col("component_id")).select(key))
-    return drop_keys(docs, losers, key)
-
-
+    """The document of each class with the smallest id, unchanged; of an id with several texts each by itself."""
+    key, text = options.get("key", "doc_id"), options.get("text", "text")
+    found = _classes(docs, key, text, options.get("words", WORDS), options.get("percent", PERCENT))
+    marker = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    losers = found.where(F.col(key) != F.col("component_id")).select(F.concat_ws(":", F.col(key).cast("string"), "_hash").alias("_class_row"))
+    marked = docs.withColumn("_class_row", F.concat_ws(":", F.col(f"`{key}`").cast("bigint").cast("string"), marker))
+    return drop_keys(marked, settle(losers), "_class_row").drop("_class_row")
