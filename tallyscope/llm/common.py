@@ -72,19 +72,19 @@ def ready(spark: SparkSession) -> None:
     _READY.add(context.applicationId)
 
 
-def sample_rows(df: DataFrame, by: list[str], size: int) -> list[Row]:
-    """Up to ``size`` rows of the smallest hashes of the columns ``by``, on the driver.
+def sample_rows(df: DataFrame, by: list[str], size: int, salt: str = "sample") -> list[Row]:
+    """Up to ``size`` rows of the smallest hashes of the columns ``by``, on the driver; ties by all columns.
 
     The hashes are cut at about twice the share that is wanted before any row moves,
     so all tasks together send about ``2 * size`` rows, however many tasks there are.
     """
     count = df.count()
-    place = F.xxhash64(F.lit("sample"), *[F.col(f"`{c}`").cast("string") for c in by])
+    place = F.xxhash64(F.lit(salt), *[F.col(f"`{c}`").cast("string") for c in by])
     kept = df.withColumn("_place", place)
     if count > 2 * size:
         # A hash is even over the range of a long.
         kept = kept.where(F.col("_place") < int(-(1 << 63) + (1 << 64) * (2 * size / count)))
-    return kept.orderBy("_place", *by).limit(size).collect()
+    return kept.orderBy("_place", *[F.col(f"`{c}`") for c in df.columns]).limit(size).collect()
 
 
 def lean(batches_to_batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

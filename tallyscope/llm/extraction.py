@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import query, ready, table
+from tallyscope.llm.common import query, ready, sample_rows, table
 
 #: Pages of the sample that the field is trained on.
 SAMPLE = 150
@@ -433,10 +433,12 @@ def semantic_labels(blocks: list[Block]) -> list[bool] | None:
 
 
 def learn_from_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS) -> Field:
-    """Train on ``sample`` of the pages (by a hash of the key), each whole, and on ``layouts`` composed of their texts."""
-    place = F.xxhash64(F.lit("extract"), F.col(f"`{key}`").cast("string"))
-    rows = pages.where(F.col(f"`{html}`").isNotNull()).select(F.col(f"`{html}`").alias("html"), place.alias("place"))
-    given = [leaf_blocks(r.html) for r in rows.orderBy("place", "html").limit(sample).collect()]
+    """Train on ``sample`` of the pages (by a hash of the key), each whole, and on ``layouts`` composed of their texts.
+
+    Pages without html are left out; without any page the composed layouts have no texts but short ones.
+    """
+    rows = pages.where(F.col(f"`{html}`").isNotNull()).select(F.col(f"`{html}`").alias("html"), F.col(f"`{key}`").alias("key"))
+    given = [leaf_blocks(r.html) for r in sample_rows(rows, ["key"], sample, salt="extract")]
     texts = [b.text for blocks in given for b in blocks if len(b.text) > 20]
     own = [(blocks, labels) for blocks in given if (labels := semantic_labels(blocks))]
     return train(own + labelled_layouts(texts, layouts))
