@@ -370,6 +370,27 @@ def test_pieces_encode_like_whole_texts(library):
         assert [tuple(x) for x in own.spans([text])[0].tolist()] == want.offsets, repr(text)
 
 
+@pytest.mark.parametrize("remembered", [1_000_000, 40])
+def test_pieces_of_many_texts(library, monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    pick, own = random.Random(6), tokens.Encoder(tokens.vocabulary())
+    words = ["the", "and", "naïve", "Straße", "漢字", "x1", "don't", "end.", "a,b", "!!", "tab\there", "new\nline", "", "<|endoftext|>", "nul\0"]
+    for _ in range(60):
+        texts = [" ".join(pick.choice(words) for _ in range(pick.randint(0, 30))) for _ in range(20)]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(raw, dtype=own.kind).tolist() for raw in own.ids(texts)] == want
+
+
+def test_equal_hashes_of_different_pieces_change_nothing(library, monkeypatch):
+    weak = lambda data, starts, ends: (ends - starts).astype(np.uint64)
+    for hashes in (weak, lambda data, starts, ends: data[ends - 1].astype(np.uint64)):
+        monkeypatch.setattr(tokens, "piece_hashes", hashes)
+        own = tokens.Encoder(tokens.vocabulary())
+        for texts in (["one two", "six ten, as"], ["abc!! def??", "abc"], ["one"], ["won two"], ["ab", "cd"]):
+            want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert [np.frombuffer(raw, dtype=own.kind).tolist() for raw in own.ids(texts)] == want
+
+
 def test_tokens_by_section(odd, empty, library):
     rows = tokens.section_token_counts(odd, tokens.vocabulary()).collect()
     sums = {}
@@ -448,6 +469,16 @@ def test_jaccard_classes_by_brute_force(spark, monkeypatch, tile):
     assert {r[0]: (r[1], r[2]) for r in out.collect()} == classes_by_brute_force(docs)
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "q r s t u v w"), (5, "q r s t u v w"), (9, "q  r s t u v W"), (7, long), (7, "x y z"), (3, f"{long} thirteen"), (8, None), (8, "x y z"), (2, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_classes(docs).collect())
+    assert got == sorted([(1, 3, 1), (5, 3, 1), (5, 5, 5), (5, 5, 5), (9, 5, 5), (7, 10, 3), (7, 1, 2), (3, 11, 3), (8, 0, 8), (8, 1, 2), (2, 1, 2)])
+    heads = sorted((r.doc_id, r.text or "") for r in jaccard_join.class_heads(docs).collect())
+    assert heads == sorted([(1, "a b c d e"), (5, "q r s t u v w"), (5, "q r s t u v w"), (3, f"{long} thirteen"), (8, ""), (2, "x y z")])
+
+
 def test_jaccard_of_odd_rows(odd, empty):
     out = jaccard_join.jaccard_classes(odd)
     rows = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_shingles))
