@@ -71,7 +71,7 @@ def test_ordered_features_move_rows_once(spark, monkeypatch, feature):
     hashed = [keys for kind, keys in exchanges(feature(v)) if kind != "HashedRelationBroadcastMode"]
     # Without a hot account all steps share the partitioning by account.
     assert not any(groups.CHUNK in keys for keys in hashed) and len(hashed) <= 2
-    monkeypatch.setattr(groups, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(groups, "CHUNK_ROWS", 2)
     found = exchanges(feature(v))
     assert not any("range" in kind for kind, _ in found)
     # Rows once, by account and chunk; the others are of summaries by account.
