@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.scalars import dot, ratio_band
-from tallyscope.operators import clusters, context, splits
+from tallyscope.operators import clusters, context, neighbours, splits
 from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.schemas import KEY
 from tallyscope.sources import sinks
@@ -42,6 +42,19 @@ def _(v: Views):
     return clusters.similar(v.points, 0, 10, ID)
 
 
+@query(
+    "v1_similar_to_many",
+    f"""ranked AS (SELECT q.vec_id AS query, p.vec_id, list_cosine_similarity(p.vector, q.vector) AS s,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(p.vector, q.vector) DESC, p.vec_id) AS n
+    FROM points p, points q WHERE q.vec_id % 20 = 0 AND p.vec_id <> q.vec_id)
+    SELECT query, CAST(n AS INT) AS rank, vec_id, {r('s', 'similarity')} FROM ranked WHERE n <= 10""",
+    "points",
+)
+def _(v: Views):
+    asked = v.points.where(F.col(ID) % 20 == 0).select(ID)
+    return neighbours.similar_many(v.points, asked, 10, ID)
+
+
 @query(
     "v2_standard_scaling",
     f"""SELECT vec_id, CAST(d AS INT) AS d, {r('(x - avg(x) OVER w) / stddev_pop(x) OVER w', 'x')} FROM dims
