@@ -10,7 +10,7 @@ from tallyscope.operators import context, registry, store
 from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.plans.feature_queries import MATRIX, MATRIX_VIEWS, matrix
 from tallyscope.schemas import FEATURES, KEY
-from tallyscope.sources import sinks
+from tallyscope.sources import batches, sinks
 from tallyscope.sources.views import Views, book
 
 # --------------------------------------------------------------- registry
@@ -427,6 +427,25 @@ def _(v: Views):
     return v.spark.read.parquet(path)
 
 
+@query(
+    "k1_text_table",
+    f"""{ENTRIES} SELECT * FROM entries WHERE expires_at > TIMESTAMP '{NOW}'
+    AND (wallet_address NOT IN (SELECT 'w' || s_nationkey FROM supplier) OR hour(created_at) % 2 = 1)""",
+)
+def _(v: Views):
+    path = scratch(v.spark, "texts")
+    entries, odd = texts(v), F.hour("created_at") % 2 == 1
+    # Texts that are flushed at once must not come back.
+    batches.append_texts(entries, path)
+    batches.flush_texts(v.spark, path)
+    batches.append_texts(entries.where(~odd), path)
+    gone = v.table("supplier").select(F.concat(F.lit("w"), F.col("s_nationkey").cast("string")).alias(KEY))
+    batches.remove_texts(gone, path)
+    batches.append_texts(entries.where(odd), path)
+    batches.purge_texts(v.spark, path, NOW)
+    return batches.read_texts(v.spark, path)
+
+
 @query(
     "w8_current_texts",
     f"""{ENTRIES} SELECT wallet_address, narrative, cluster_id, created_at, expires_at FROM (

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.operators import clusters, labels
-from tallyscope.plans.catalogue import query, r
+from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.schemas import KEY, LABEL_PRIORITY
+from tallyscope.sources import batches
 from tallyscope.sources.views import Views, book
 
 # Senders that count as protocols in the views.
@@ -258,9 +259,9 @@ def _(v: Views):
     return labels.resolve_labels([claims], [])
 
 
-def assertions(v: Views) -> DataFrame:
+def raw_assertions(v: Views) -> DataFrame:
     """Every event as a label assertion about its user."""
-    raw = v.events.select(
+    return v.events.select(
         F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("address"),
         F.col("event_type").alias("label"),
         F.lit(None).cast("string").alias("source"),
@@ -268,7 +269,10 @@ def assertions(v: Views) -> DataFrame:
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("evidence"),
         F.col("ts").alias("asserted_at"),
     )
-    return labels.assert_labels(raw)
+
+
+def assertions(v: Views) -> DataFrame:
+    return labels.assert_labels(raw_assertions(v))
 
 
 @query(
@@ -297,6 +301,49 @@ def _(v: Views):
     )
 
 
+@query(
+    "l10_appended_assertions",
+    f"""SELECT 'w' || user_id AS address, event_type AS label, 'agent_verified' AS source,
+    {r('least(value / 100, 1)', 'confidence')}, 'event ' || event_id AS evidence, ts AS asserted_at,
+    'w' || user_id AS wallet_address FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts DESC, event_type DESC) AS rn FROM ev
+    WHERE event_type = 'purchase' OR user_id % 7 <> 3) WHERE rn = 1""",
+    "ev",
+)
+def _(v: Views):
+    path = scratch(v.spark, "assertions")
+    early, late = raw_assertions(v), F.col("label") == "purchase"
+    batches.append_labels(early.where(~late), path)
+    accounts = v.events.where(F.col("user_id") % 7 == 3).select(F.concat(F.lit("w"), F.col("user_id").cast("string")))
+    batches.remove(accounts, path, "address")
+    # What is appended after a removal stays.
+    batches.append_labels(early.where(late), path)
+    return batches.read_labels(v.spark, path)
+
+
+@query(
+    "l11_appended_cluster_labels",
+    f"""SELECT 'v' || vec_id AS address, CASE WHEN cluster = 4 OR vec_id % 10 = 0 THEN 'mev_bot' ELSE 'hodler' END AS label,
+    'agent_cluster_label' AS source, {r("CASE WHEN cluster = 4 OR vec_id % 10 = 0 THEN 1 ELSE 0.8 END", 'confidence')},
+    '' AS evidence, CASE WHEN cluster = 4 OR vec_id % 10 = 0 THEN TIMESTAMP '2024-02-02'
+    ELSE TIMESTAMP '2024-02-01' END AS asserted_at, 'v' || vec_id AS wallet_address
+    FROM points WHERE cluster IN (3, 4)""",
+    "points",
+)
+def _(v: Views):
+    path = scratch(v.spark, "assertions")
+    members = v.points.select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias(KEY), "cluster", "vec_id")
+    batches.append_cluster_label(
+        members, 3, path, label="hodler", confidence=0.8, asserted_at="2024-02-01 00:00:00"
+    )
+    # A tenth of the members were in cluster 4 by a later run.
+    moved = members.withColumn("cluster", F.when(F.col("cluster").isin(3) & (F.col("vec_id") % 10 == 0), 4).otherwise(F.col("cluster")))
+    batches.append_cluster_label(
+        moved, 4, path, label="mev_bot", confidence=1.5, asserted_at="2024-02-02 00:00:00"
+    )
+    return batches.read_labels(v.spark, path)
+
+
 @query(
     "l12_label_encoding",
     "SELECT c_custkey, c_mktsegment AS label, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS label_id "
