@@ -202,6 +202,11 @@ def _(v: Views):
     return classify.cross_validate(labelled(v), COLUMNS, key=ID, folds=3)
 
 
+@query("d8_ensemble_validation")
+def _(v: Views):
+    return classify.cross_validate(labelled(v), COLUMNS, key=ID, folds=3, classes=10, epochs=20)
+
+
 @query("d9_batch_scoring")
 def _(v: Views):
     train, validate, test = parts(v)
@@ -220,6 +225,13 @@ def _(v: Views):
     return classify.importances(model, COLUMNS, train)
 
 
+@query("d10_permutation_importance")
+def _(v: Views):
+    train, validate, test = parts(v)
+    model = classify.train_trees(train, validate, COLUMNS, trials=1)
+    return classify.permutation_importances(model, COLUMNS, test, key=ID)
+
+
 @query("d11_saved_model")
 def _(v: Views):
     train, validate, test = parts(v)
