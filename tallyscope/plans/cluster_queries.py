@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.scalars import dot, ratio_band
+from tallyscope.functions.scalars import dot, ratio_band, squared_distance
 from tallyscope.operators import clusters, context, neighbours, splits
 from tallyscope.plans.catalogue import query, r, scratch
 from tallyscope.schemas import KEY
@@ -72,6 +75,47 @@ def _(v: Views):
     return reduced.select(ID, F.col("vector")[0].alias("pc1"), F.col("vector")[1].alias("pc2"))
 
 
+# Turning to all components keeps each vector's length, and the components are uncorrelated.
+@query(
+    "v3_rotation_evidence",
+    f"""scaled AS (SELECT vec_id, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM dims WINDOW w AS (PARTITION BY d))
+    SELECT vec_id, {r('sum(x * x)', 'squared_length')}, true AS falling, true AS uncorrelated
+    FROM scaled GROUP BY 1""",
+    "dims",
+)
+def _(v: Views):
+    turned = clusters.reduce_dimensions(clusters.standardise_vectors(v.points, DIMS), DIMS)
+    c = F.col("vector")
+    told = turned.agg(*[F.var_pop(c[i]).alias(f"v{i}") for i in range(DIMS)], *[
+        F.abs(F.covar_pop(c[i], c[i + 1])).alias(f"c{i}") for i in range(DIMS - 1)
+    ])
+    flags = told.select(
+        F.struct(
+            reduce(and_, [F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-9 for i in range(DIMS - 1)]).alias("falling"),
+            reduce(and_, [F.col(f"c{i}") < 1e-9 for i in range(DIMS - 1)]).alias("uncorrelated"),
+        )
+    )
+    rows = turned.select(ID, dot(c, c).alias("squared_length"), flags.scalar().alias("_f"))
+    return rows.select(ID, "squared_length", "_f.falling", "_f.uncorrelated")
+
+
+@query(
+    "v4_assignment_evidence",
+    "SELECT vec_id, true AS at_nearest_centre, true AS listed FROM points",
+    "points",
+)
+def _(v: Views):
+    model = clusters.fit_clusters(v.points, 6)
+    centres = F.lit([[float(x) for x in c] for c in model.stages[-1].clusterCenters()])
+    placed = clusters.apply_clusters(model, v.points)
+    gaps = F.transform(centres, lambda c: squared_distance(F.col("embedding"), c))
+    return placed.select(
+        ID,
+        (F.element_at(gaps, F.col("cluster") + 1) <= F.array_min(gaps) + 1e-12).alias("at_nearest_centre"),
+        F.col("cluster").between(0, 5).alias("listed"),
+    )
+
+
 @query("v4_fitted_clusters")
 def _(v: Views):
     model = clusters.fit_clusters(v.points, 6)

@@ -182,6 +182,13 @@ def parts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(split.where(F.col("split") == n).drop("split") for n in ("train", "validation", "test"))
 
 
+# The rows that the split leaves for testing; too small a class makes it ignore the labels.
+TESTED = """strata AS (SELECT vec_id, CASE WHEN min(n) OVER () < 7 THEN NULL ELSE label END AS stratum FROM (
+    SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n FROM embeddings)),
+tested AS (SELECT vec_id FROM (SELECT vec_id, (row_number() OVER (PARTITION BY stratum
+    ORDER BY md5('42:' || vec_id), vec_id) - 1) / count(*) OVER (PARTITION BY stratum) AS s FROM strata) WHERE s >= 0.85)"""
+
+
 @query("d1_tree_classifier")
 def _(v: Views):
     train, validate, test = parts(v)
@@ -218,6 +225,42 @@ def _(v: Views):
     return scored.select(ID, "predicted", "confidence", F.posexplode("probability").alias("class", "probability"))
 
 
+@query(
+    "d9_prediction_evidence",
+    f"""WITH {TESTED} SELECT vec_id, model, true AS sums_to_one, true AS in_range, true AS takes_the_largest
+    FROM tested, (VALUES ('trees'), ('network'), ('both')) m(model)""",
+)
+def _(v: Views):
+    train, validate, test = parts(v)
+    trees = classify.train_trees(train, validate, COLUMNS, trials=1)
+    network = classify.train_network(train, COLUMNS, 10, epochs=20)
+    scored = classify.predict_with(trees, test, COLUMNS, "_tree", "trees")
+    scored = classify.predict_with(network, scored, COLUMNS, "_net", "network")
+    both = scored.withColumn("both", evaluate.ensemble(F.col("trees"), F.col("network"), (0.3, 0.7)))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("p")) for c in ("trees", "network", "both")]))
+    decided = evaluate.decide(both.select(ID, kinds.alias("_k")).select(ID, "_k.*"), "p")
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    return decided.select(
+        ID,
+        "model",
+        ((F.abs(total - 1) < 1e-9) & (F.size("p") == 10)).alias("sums_to_one"),
+        F.forall("p", lambda x: x.between(0, 1 + 1e-12)).alias("in_range"),
+        F.forall("p", lambda x: x <= F.element_at("p", F.col("predicted") + 1)).alias("takes_the_largest"),
+    )
+
+
+@query("d11_reload_evidence", f"WITH {TESTED} SELECT vec_id, true AS same FROM tested")
+def _(v: Views):
+    train, validate, test = parts(v)
+    model = classify.train_trees(train, validate, COLUMNS, trials=1)
+    path = scratch(v.spark, "model")
+    classify.save_model(model, path, {"features": COLUMNS}, train)
+    loaded, metadata = classify.load_model(v.spark, path)
+    told = classify.predict_with(model, test, COLUMNS, "_tree", "before")
+    told = classify.predict_with(loaded, told, metadata["features"], "_tree", "after")
+    return told.select(ID, (F.col("before") == F.col("after")).alias("same"))
+
+
 @query("d10_feature_importance")
 def _(v: Views):
     train, validate, _test = parts(v)
