@@ -147,6 +147,7 @@ def density_clusters(
     x, y = [F.col("vector")[i].cast("double") + F.lit(0.0) for i in (0, 1)]
     placed = points.drop("cluster").withColumn("_px", x).withColumn("_py", y)
     finite = (F.abs("_px") < float("inf")) & (F.abs("_py") < float("inf"))
+    placed = _within_grid(placed, side)
     cell = _named(F.floor(F.col("_px") / side), F.floor(F.col("_py") / side))
     placed = placed.withColumn("_cell", F.when(finite, cell))
     flagged = settle(_with_core(placed, eps, side, min_samples))
@@ -164,6 +165,25 @@ def density_clusters(
     return joined.withColumn("cluster", F.coalesce(in_cluster, F.lit(NOISE))).drop("_px", "_py", "_cell", "_core")
 
 
+def _within_grid(placed: DataFrame, side: float) -> DataFrame:
+    """Finite coordinates too large for a cell number moved to nearer places.
+
+    Beyond 2^55 sides, neighbouring doubles lie more than ``eps`` apart, so only
+    equality matters there: each different value gets a place of its own.
+    """
+    far = lambda c: (F.abs(c) >= 2.0**55 * side) & (F.abs(c) < float("inf"))
+    both = placed.select(F.explode(F.array("_px", "_py")).alias("_place")).where(far(F.col("_place")))
+    if both.isEmpty():
+        return placed
+    ranked = global_position(both.distinct(), F.col("_place").asc())
+    # So wide apart that rounding in the division by ``side`` can't join two.
+    stand_in = settle(ranked.select("_place", ((F.col("position") * 64 + 2.0**56) * side).alias("_to")))
+    for name in ("_px", "_py"):
+        beside = attach(placed.withColumn("_place", F.when(far(F.col(name)), F.col(name))), stand_in, "_place")
+        placed = beside.withColumn(name, F.coalesce("_to", name)).drop("_place", "_to")
+    return placed
+
+
 def _named(x: Column, y: Column) -> Column:
     return F.concat_ws(":", x.cast("string"), y.cast("string"))
 

@@ -228,6 +228,17 @@ def test_density_clusters(spark, eps):
     assert {r["vec_id"]: r["cluster"] for r in found.collect()} == brute_density(rows, eps, 3, 5)
 
 
+def test_density_clusters_with_huge_coordinates(spark):
+    huge = [(1e300, 2.0)] * 5 + [(1.0000000000000002e300, 2.0)] * 5 + [(-1e300, 2.0)] * 4 + [(1e300, -1.7e308)] * 6
+    near = [(0.1 * i, 0.0) for i in range(7)]
+    rows = [(i, [float(x), float(y)]) for i, (x, y) in enumerate(huge + near)]
+    df = spark.createDataFrame(rows, "vec_id int, vector array<double>")
+    found = clusters.density_clusters(df, eps=0.25, min_samples=3, min_cluster_size=5, key="vec_id").collect()
+    told = [r["cluster"] for r in sorted(found, key=lambda r: r["vec_id"])]
+    # By falling size: 7 near points, 6, then 5 and 5; the group of 4 is too small.
+    assert told == [2] * 5 + [3] * 5 + [-1] * 4 + [1] * 6 + [0] * 7
+
+
 def test_density_clusters_do_not_depend_on_the_grid(spark):
     rows, df = blobs(spark, 300)
     half = F.transform("vector", lambda x: x + 0.3 / math.sqrt(2.0))
