@@ -2,11 +2,14 @@
 
 Vectors are scaled to length one and rotated onto their principal axes, so leading
 dimensions hold most of the length. Inside a label they are ordered by the first
-axis and cut into tiles. Vectors within the threshold are close on every axis, so
-tiles whose ranges on the first axes are too far apart are not compared. A pair of
-tiles adds up leading dimensions first; the rest of each product is bounded by the
-norms of what is left, and pairs that can't reach the threshold stop there. What
-is left is decided by the cosine of the original vectors in double precision.
+axis and cut into blocks of several thousand, and pairs of blocks meet. Vectors
+within the threshold are close to each other, so blocks whose ranges on the first
+axes are too far apart don't meet. A block is cut into tiles across its widest
+axes, and tiles whose boxes are too far apart are passed over. A pair of tiles adds
+up leading dimensions first; the rest of each product is bounded by the norms of
+what is left, and pairs that can't reach the threshold stop there. Only turned
+vectors move to the blocks. The few pairs that rounding leaves open are decided by
+the cosine of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -28,18 +31,20 @@ from tallyscope.session import settle
 
 THRESHOLD = 0.93
 TILE = 1_024
+#: Turned vectors of a block, in bytes; a task holds two blocks.
+BLOCK_BYTES = 8 << 20
 #: Dimensions after which a pair may stop.
 STEPS = (8, 16, 32)
-#: Axes on which tiles are compared.
+#: Axes on which blocks are compared.
 AXES = 4
-#: Room for rounding in the bounds, which only ever keeps more pairs.
+#: Room for rounding. It keeps more pairs in the bounds, and leaves pairs so close to the threshold to the originals.
 SLACK = 1e-9
 
 
-def compare(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of all pairs with a cosine of at least ``threshold``.
+def compare(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs whose cosine may reach ``threshold``, and the cosines as far as rounding allows.
 
-    ``a`` and ``b`` are unit vectors on the principal axes; ``raw_*`` the originals.
+    ``a`` and ``b`` are unit vectors on the principal axes.
     """
     def rest(x: np.ndarray, upto: int) -> np.ndarray:
         return np.sqrt((x[:, upto:] ** 2).sum(1))
@@ -53,41 +58,99 @@ def compare(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray,
         left = rest(a, upto)[i] * rest(b, upto)[j]
         keep = sums + left >= threshold - SLACK
         i, j, sums, before = i[keep], j[keep], sums[keep], upto
-    x, y = raw_a[i], raw_b[j]
-    cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-    keep = cosine >= threshold
-    return i[keep], j[keep]
+    return i, j, sums
+
+
+def cut(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Positions of the rows in tiles of at most ``size``, halved across the axis on which a tile is widest."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            done.append(rows)
+            continue
+        part = x[rows]
+        axis = int(np.argmax(part.max(0) - part.min(0)))
+        order = rows[np.argsort(part[:, axis], kind="stable")]
+        todo += [order[: len(rows) // 2], order[len(rows) // 2 :]]
+    return done
+
+
+def close_tiles(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of tiles of two blocks (of one, if ``same``) whose boxes allow a cosine of ``threshold``."""
+    # Unit vectors with this cosine are at most so far apart.
+    reach = max(0.0, 2 - 2 * threshold) + SLACK
+    tiles_a = cut(a, TILE)
+    tiles_b = tiles_a if same else cut(b, TILE)
+    box_a, box_b = ([(x[t].min(0), x[t].max(0)) for t in tiles] for x, tiles in ((a, tiles_a), (b, tiles_b)))
+    for k, (rows_a, (low_a, high_a)) in enumerate(zip(tiles_a, box_a, strict=True)):
+        for rows_b, (low_b, high_b) in list(zip(tiles_b, box_b, strict=True))[k if same else 0 :]:
+            gap = np.maximum(0.0, np.maximum(low_a - high_b, low_b - high_a))
+            if gap @ gap <= reach:
+                yield rows_a, rows_b
+
+
+def cosines(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Cosines of pairs of vectors that are not zero, in double precision.
+
+    Each is first scaled by a power of two, which changes no digit, so that squares of large components stay finite.
+    """
+    out = np.zeros(len(a))
+    for k in range(len(a)):
+        x, y = (np.asarray(v[k].values, dtype=float) for v in (a, b))
+        x, y = (np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for v in (x, y))
+        out[k] = (x @ y) / (np.sqrt(x @ x) * np.sqrt(y @ y))
+    return out
 
 
-def _compare_tiles(threshold: float):
+def _compare_blocks(threshold: float):
     def links(unit: pd.DataFrame) -> pd.DataFrame:
-        """Number of links of each vector within this pair of tiles, and its root in their forest."""
+        """Links of each vector within this pair of blocks with its root in their forest; open pairs as ``low``, ``high``."""
         low = unit[unit["side"] == 0]
         high = unit[unit["side"] == 1]
         same = high.empty
         high = low if same else high
         a, b = (np.stack(t["turned"].to_numpy()) for t in (low, high))
-        raw_a, raw_b = (np.stack(t["vector"].to_numpy()).astype(float) for t in (low, high))
-        i, j = compare(a, b, raw_a, raw_b, threshold)
-        if same:
-            i, j = i[i != j], j[i != j]
-        nodes = np.concatenate([low["node"].to_numpy(), *([] if same else [high["node"].to_numpy()])])
-        copies_a, copies_b = low["copies"].to_numpy(), high["copies"].to_numpy()
-        count = np.bincount(i, weights=copies_b[j], minlength=len(low))
-        if not same:
-            count = np.concatenate([count, np.bincount(j, weights=copies_a[i], minlength=len(high))])
-        forest = Forest()
-        ids_a, ids_b = low["node"].to_numpy(), high["node"].to_numpy()
-        for x, y in zip(ids_a[i].tolist(), ids_b[j].tolist(), strict=True):
-            if x != y:
-                forest.union(x, y)
-        roots = [forest.find(x) for x in nodes.tolist()]
-        out = pd.DataFrame({"node": nodes, "links": count.astype(np.int64), "root": np.array(roots, dtype=np.int64)})
-        return out[out["links"] > 0]
+        ids_a, ids_b, copies_a, copies_b, rows_a, rows_b = (
+            t[c].to_numpy() for c in ("node", "copies", "row") for t in (low, high)
+        )
+        count_a, count_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        forest, lows, highs = Forest(), [], []
+        for tile_a, tile_b in close_tiles(a, b, threshold, same):
+            i, j, cosine = compare(a[tile_a], b[tile_b], threshold)
+            i, j = tile_a[i], tile_b[j]
+            if same:  # each pair once, and none of a vector with itself
+                keep = i < j if tile_a is tile_b else i != j
+                i, j, cosine = i[keep], j[keep], cosine[keep]
+            sure = cosine >= threshold + SLACK
+            lows.append(rows_a[i[~sure]])
+            highs.append(rows_b[j[~sure]])
+            i, j = i[sure], j[sure]
+            np.add.at(count_a, i, copies_b[j])
+            np.add.at(count_b, j, copies_a[i])
+            for x, y in zip(ids_a[i].tolist(), ids_b[j].tolist(), strict=True):
+                if x != y:
+                    forest.union(x, y)
+        nodes, count = (ids_a, count_a + count_b) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([count_a, count_b]))
+        nodes, count = nodes[count > 0], count[count > 0]
+        roots = np.array([forest.find(x) for x in nodes.tolist()], dtype=np.int64)
+        lows, highs = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (lows, highs))
+        found = pd.DataFrame({"node": nodes, "links": count, "root": roots})
+        left_open = pd.DataFrame({"low": lows, "high": highs})
+        return pd.concat([found, left_open]).astype("Int64")[["node", "links", "root", "low", "high"]]
 
     return links
 
 
+def _reaches(threshold: float):
+    @F.arrow_udf("boolean")
+    def reaches(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in parts:
+            yield pa.array(cosines(a, b) >= threshold)
+
+    return reaches
+
+
 def _usable(vector: str) -> Column:
     v = F.col(f"`{vector}`")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -122,10 +185,9 @@ def embedding_classes(
     classes = settle(
         used.groupBy("_content").agg(
             F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label")
-        )
+        ).withColumn("row", F.monotonically_increasing_id())
     )
-    tiles = _tiles(_turned(classes))
-    counted = settle(_links(tiles, threshold))
+    counted = settle(_links(classes, _blocks(_turned(classes)), threshold))
     connected = connected_components(counted.select(F.col("node").alias("a"), F.col("root").alias("b")))
     found = counted.groupBy("node").agg(F.sum("links").alias("n_links"))
     found = found.join(connected, "node", "left")
@@ -177,33 +239,46 @@ def _turned(classes: DataFrame) -> DataFrame:
     return turned.withColumn("group", group)
 
 
-def _tiles(turned: DataFrame) -> DataFrame:
-    """Tiles of a group: consecutive vectors on the first axis."""
-    placed = group_position(turned, "group", F.col("turned")[0], F.col("node"))
-    return settle(placed.withColumn("tile", F.floor((F.col("position") - 1) / TILE).cast("int")).drop("position", "group_size"))
+def _blocks(turned: DataFrame) -> DataFrame:
+    """Blocks of a group: consecutive vectors on the first axis."""
+    placed = group_position(turned.drop("vector"), "group", F.col("turned")[0], F.col("row"))
+    rows = F.greatest(F.lit(TILE), F.floor(F.lit(BLOCK_BYTES) / (F.size("turned") * 8)))
+    return settle(placed.withColumn("block", F.floor((F.col("position") - 1) / rows).cast("int")).drop("position", "group_size"))
 
 
-def _links(tiles: DataFrame, threshold: float) -> DataFrame:
-    """Links and roots by pair of tiles that may hold a pair within the threshold."""
-    # Unit vectors with this cosine are at most so far apart, on every axis.
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+def _links(classes: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root) by pair of blocks that may hold a pair within the threshold."""
+    reach = max(0.0, 2 - 2 * threshold) + SLACK
     axes = range(AXES)
     ranges = [f(F.try_element_at("turned", F.lit(d + 1))).alias(f"{n}{d}") for d in axes for n, f in (("lo", F.min), ("hi", F.max))]
-    box = settle(tiles.groupBy("group", "tile").agg(*ranges))
+    box = settle(blocks.groupBy("group", "block").agg(*ranges))
     other = box.select(*[F.col(c).alias(f"_{c}") for c in box.columns])
-    near = F.lit(True)
-    for d in axes:
-        apart = (F.col(f"lo{d}") > F.col(f"_hi{d}") + reach) | (F.col(f"_lo{d}") > F.col(f"hi{d}") + reach)
-        near = near & ~F.coalesce(apart, F.lit(False))
-    pairs = box.join(other, (F.col("group") == F.col("_group")) & (F.col("tile") <= F.col("_tile")) & near)
-    ends = F.when(F.col("tile") == F.col("_tile"), F.array(F.struct(F.col("tile").alias("t"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("tile").alias("t"), F.lit(0).alias("side")), F.struct(F.col("_tile").alias("t"), F.lit(1).alias("side")))
+    # Axes that a short vector lacks add nothing.
+    gaps = [F.greatest(F.lit(0.0), F.col(f"lo{d}") - F.col(f"_hi{d}"), F.col(f"_lo{d}") - F.col(f"hi{d}")) for d in axes]
+    near = sum((g * g for g in gaps), F.lit(0.0)) <= reach
+    pairs = box.join(other, (F.col("group") == F.col("_group")) & (F.col("block") <= F.col("_block")) & near)
+    ends = F.when(F.col("block") == F.col("_block"), F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("side")), F.struct(F.col("_block").alias("b"), F.lit(1).alias("side")))
     )
-    plan = pairs.select("group", F.col("tile").alias("low"), F.col("_tile").alias("high"), F.explode(ends).alias("e"))
-    plan = plan.select("group", "low", "high", F.col("e.t").alias("tile"), "e.side")
-    units = tiles.select("group", "tile", "node", "copies", "vector", "turned").join(plan, ["group", "tile"])
-    # A unit holds two tiles at most.
-    return units.groupBy("group", "low", "high").applyInPandas(_compare_tiles(threshold), "node bigint, links bigint, root bigint")
+    plan = pairs.select("group", F.col("block").alias("first"), F.col("_block").alias("second"), F.explode(ends).alias("e"))
+    plan = plan.select("group", "first", "second", F.col("e.b").alias("block"), "e.side")
+    units = blocks.select("group", "block", "row", "node", "copies", "turned").join(plan, ["group", "block"])
+    # A unit holds two blocks at most.
+    schema = "node bigint, links bigint, root bigint, low bigint, high bigint"
+    found = settle(units.groupBy("group", "first", "second").applyInPandas(_compare_blocks(threshold), schema))
+    sure = found.where("low IS NULL").select("node", "links", "root")
+    undecided = found.where("low IS NOT NULL").select("low", "high")
+    if undecided.isEmpty():
+        return sure
+    for side in ("low", "high"):
+        ends = [F.col(c).alias(f"{side}_{c}") for c in ("node", "copies", "vector")]
+        undecided = attach(settle(undecided), settle(classes.select(F.col("row").alias(side), *ends)), side)
+    linked = undecided.where(_reaches(threshold)("low_vector", "high_vector"))
+    ways = [
+        F.struct(F.col(f"{x}_node").alias("node"), F.col(f"{y}_copies").alias("links"), F.least("low_node", "high_node").alias("root"))
+        for x, y in (("low", "high"), ("high", "low"))
+    ]
+    return sure.unionByName(linked.select(F.explode(F.array(*ways)).alias("w")).select("w.*"))
 
 
 CHECK = f"""

@@ -251,13 +251,46 @@ def test_pruned_comparison_loses_nothing():
     pick = np.random.default_rng(0)
     raw = pick.normal(size=(12, 40))[pick.integers(0, 12, 300)] + 0.25 * pick.normal(size=(300, 40))
     unit = raw / np.linalg.norm(raw, axis=1)[:, None]
-    i, j = embedding_dedup.compare(unit, unit, raw, raw, 0.93)
+    i, j, cosine = embedding_dedup.compare(unit, unit, 0.93)
     want = np.argwhere(unit @ unit.T >= 0.93)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist())) and len(want) > 400
+    assert np.allclose(cosine, (unit @ unit.T)[i, j], atol=1e-12)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_lose_no_pair_and_pass_over_most_of_uneven_vectors(monkeypatch, same):
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    pick = np.random.default_rng(3)
+    # Three axes hold nearly all of the length.
+    raw = pick.normal(size=(900, 24)) * np.array([1.0] * 3 + [0.02] * 21)
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    a, b = (unit, unit) if same else (unit[:400], unit[400:])
+    met, found = 0, set()
+    for x, y in embedding_dedup.close_tiles(a, b, 0.99, same):
+        assert max(len(x), len(y)) <= 16
+        met += 1
+        i, j, _ = embedding_dedup.compare(a[x], b[y], 0.99)
+        found |= set(zip(x[i].tolist(), y[j].tolist(), strict=True))
+    want = {(i, j) for i, j in np.argwhere(a @ b.T >= 0.99).tolist()}
+    assert (found | {(j, i) for i, j in found} if same else found) == want and sum(i != j for i, j in want) > 400
+    tiles_a, tiles_b = (len(embedding_dedup.cut(t, 16)) for t in (a, b))
+    every = tiles_a * (tiles_a + 1) // 2 if same else tiles_a * tiles_b
+    assert met < 0.2 * every
+
+
+def test_pairs_on_the_threshold_and_huge_components(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 2)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 48)
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [3.0, 4.0, 0.0]), (2, [0.6, 0.8 + 1e-7, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0, 1e200]), (5, [0.0, 1e190, 1e200])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int")
+    out = embedding_dedup.embedding_classes(table, threshold=0.6)
+    # 0 and 1 have a cosine of exactly 3 / 5, 2 lies a hair below it; 0 and 3 are equal.
+    assert {(r.vec_id, r.n_links, r.component_id) for r in out.collect()} == {(0, 2, 0), (1, 3, 0), (2, 1, 0), (3, 2, 0), (4, 1, 4), (5, 1, 4)}
 
 
 def test_embedding_classes(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 24 * 8 * 40)
     pick = np.random.default_rng(5)
     base = pick.normal(size=(9, 24))
     rows = [(k, (base[k % 9] + 0.2 * pick.normal(size=24)).tolist(), int(k % 3 == 0), 1) for k in range(150)]
