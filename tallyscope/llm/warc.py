@@ -4,6 +4,10 @@ Reading plans partitions of files by size, parses a record's headers first, and
 skips payloads of records that pushed filters reject or nobody asked for. Writing
 rolls files over by size and lists what was committed, so files of lost tasks do
 not count. Storage is whatever ``pyarrow.fs`` opens by URI.
+
+Damage never ends a job or passes in silence: a row's ``damage`` is NULL for a whole
+record and else says what is wrong with it. Reading goes on at the next line that
+starts a record, or with the next file where a compressed one breaks off.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import gzip
 import io
 import json
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -51,14 +56,16 @@ HEADERS = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
 }
-SCHEMA = "record_type string, record_id string, date string, target_uri string, payload_digest string, refers_to string, payload_bytes bigint, headers map<string,string>, payload binary"
-ARROW = pa.schema([*[(c, pa.string()) for c in HEADERS], ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+SCHEMA = "record_type string, record_id string, date string, target_uri string, payload_digest string, refers_to string, payload_bytes bigint, headers map<string,string>, payload binary, damage string"
+ARROW = pa.schema([*[(c, pa.string()) for c in HEADERS], ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("damage", pa.string())])
 WRITTEN = [*HEADERS, "payload_bytes", "payload"]
 LISTING = "_committed"
 FILE_BYTES = 128 << 20
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 READ_BYTES = 64 << 10
+#: Longest header line; a longer one is no header.
+LINE_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -88,18 +95,34 @@ def record_bytes(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def read_headers(f: BinaryIO) -> dict[str, str] | None:
-    """Header lines up to the blank one; None at the end of the file."""
-    line = f.readline()
+class Damaged(ValueError):
+    """Bytes that are not what the format puts there."""
+
+
+def read_headers(f: BinaryIO, kind: bytes = b"WARC/", *, first: bytes = b"", room: int | None = None) -> dict[str, str] | None:
+    """Header lines up to the blank one; None at the end of the file.
+
+    ``first`` is a first line that was read before; no more than ``room`` bytes are read.
+    """
+    def next_line() -> bytes:
+        nonlocal room
+        line = f.readline(LINE_BYTES if room is None else min(room, LINE_BYTES))
+        if len(line) == LINE_BYTES and not line.endswith(b"\n"):
+            raise Damaged("header line without an end")
+        if room is not None:
+            room -= len(line)
+        return line
+
+    line = first or next_line()
     while line in (b"\r\n", b"\n"):
-        line = f.readline()
+        line = next_line()
     if not line:
         return None
-    if not line.startswith((b"WARC/", b"HTTP/")):
-        raise ValueError(f"no record starts with {line[:40]!r}")
+    if not line.startswith(kind):
+        raise Damaged("no record starts here")
     headers: dict[str, str] = {}
     name = None
-    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := next_line()) not in (b"\r\n", b"\n", b""):
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in " \t" and name:  # a folded line goes on with the one before
             headers[name] += " " + text.strip()
@@ -115,23 +138,75 @@ def _value(headers: dict[str, str], name: str) -> str | None:
     return next((v for k, v in headers.items() if k.lower() == name.lower()), None)
 
 
-def records(f: BinaryIO, wanted, payload: bool) -> Iterator[dict]:
-    """Records whose header columns ``wanted`` accepts; the others' blocks are skipped unread."""
-    while (headers := read_headers(f)) is not None:
-        size = int(_value(headers, "Content-Length") or 0)
-        row = {column: _value(headers, header) for column, header in HEADERS.items()}
-        if not wanted(row):
-            f.seek(size, 1)
+def _length(headers: dict[str, str]) -> int | None:
+    text = _value(headers, "Content-Length") or ""
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _next_start(f: BinaryIO) -> bytes:
+    """Read up to the next line that starts a record and return that line; empty at the end of the file."""
+    whole = True
+    while line := f.readline(LINE_BYTES):
+        if whole and line.startswith(b"WARC/"):
+            return line
+        whole = line.endswith(b"\n")
+    return b""
+
+
+def _damaged(what: str, columns: dict | None = None, skipped: int = 0) -> dict:
+    """A row for bytes that hold no readable record; ``payload_bytes`` is how many were passed over."""
+    return {**dict.fromkeys(HEADERS), **(columns or {}), "headers": [], "payload": None, "payload_bytes": skipped, "damage": what}
+
+
+def records(f: BinaryIO, wanted, payload: bool, end: int | None = None) -> Iterator[dict]:
+    """Records whose header columns ``wanted`` accepts; the others' blocks are skipped unread.
+
+    ``end`` is the size of the file where it is known. Damage, told in ``damage``: bytes
+    between records that start none and records without a length are passed over; a record
+    that the file's end cuts off keeps what is left of its payload; the block of a record
+    that should hold an HTTP message but doesn't is its payload as a whole.
+    """
+    first = b""
+    while True:
+        before = f.tell() - len(first)
+        columns: dict = {}
+        try:
+            headers = read_headers(f, first=first)
+            first = b""
+            if headers is None:
+                return
+            columns = {column: _value(headers, header) for column, header in HEADERS.items()}
+            size = _length(headers)
+            if size is None:
+                raise Damaged("no length")
+        except Damaged as e:
+            first = _next_start(f)
+            row = _damaged(str(e), columns, f.tell() - len(first) - before)
+            if wanted(row):
+                yield row
+            if not first:
+                return
             continue
-        row |= {"headers": list(headers.items()), "payload": None, "payload_bytes": size}
         start = f.tell()
+        after = start + size if end is None else min(start + size, end)
+        if not wanted(columns):
+            f.seek(after)
+            continue
+        row = columns | {"headers": list(headers.items()), "payload": None, "payload_bytes": size, "damage": None}
         if (_value(headers, "Content-Type") or "").startswith("application/http") and size:
-            http = read_headers(f)
-            inside = size - (f.tell() - start)
-            row["payload_bytes"] = int(_value(http, "Content-Length") or inside) if row["record_type"] == "revisit" else inside
+            try:
+                http = read_headers(f, b"HTTP/", room=size) or {}
+                inside = size - (f.tell() - start)
+                told = _length(http) if row["record_type"] == "revisit" else None
+                row["payload_bytes"] = inside if told is None else told
+            except Damaged:
+                row["damage"] = "no HTTP message"
+                f.seek(start)
         if payload and row["record_type"] != "revisit":
-            row["payload"] = f.read(row["payload_bytes"])
-        f.seek(start + size - f.tell(), 1)
+            row["payload"] = f.read(min(row["payload_bytes"], after - f.tell()))
+        f.seek(after)
+        if f.tell() < start + size:
+            row["damage"] = "cut off"
         yield row
 
 
@@ -208,7 +283,7 @@ class WarcReader(DataSourceReader):
         for name in partition.names:
             with store.open_input_file(name) as raw:
                 f = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw, READ_BYTES)
-                for row in records(f, lambda row: all(t(row) for t in tests), self.payload):
+                for row in self._whole_file(f, None if name.endswith(".gz") else raw.size(), tests):
                     rows.append(row)
                     size += len(row["payload"] or b"") + 1_000
                     if size >= BATCH_BYTES:
@@ -216,6 +291,17 @@ class WarcReader(DataSourceReader):
                         rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
+    def _whole_file(self, f: BinaryIO, end: int | None, tests: list) -> Iterator[dict]:
+        def wanted(row: dict) -> bool:
+            return all(t(row) for t in tests)
+
+        try:
+            yield from records(f, wanted, self.payload, end)
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            row = _damaged("broken compression")
+            if wanted(row):
+                yield row
+
 
 # ------------------------------------------------------------------- writing
 

@@ -1,8 +1,10 @@
 """The training-data operators on small frames: brute force, round trips and odd rows."""
 
+import gzip
 import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -322,6 +324,43 @@ def test_embeddings_of_one_class(spark, copies):
 # ------------------------------------------------------------------ 6
 
 
+def test_damaged_archives(spark, tmp_path):
+    def record(name, block, length=None, kind="application/http; msgtype=response"):
+        size = len(block) if length is None else length
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {name}\r\nContent-Type: {kind}\r\nContent-Length: {size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(
+        record("whole", http + b"one") + record("bare", b"not a message\r\n\r\nWARC/1.1") + record("nolength", http + b"two", "x")
+        + b"rubbish\n" * 3 + record("later", http + b"three") + record("cut", http + b"four")[:-6]
+    )
+    (tmp_path / "b.warc").write_bytes(record("short", http + b"five", 21) + record("next", http + b"six") + record("endless", http[:-2]))
+    packed = gzip.compress(record("packed", http + b"seven")) + gzip.compress(record("lost", http + np.random.default_rng(1).bytes(5_000)))
+    (tmp_path / "c.warc.gz").write_bytes(packed[:-2_000])
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc").write_bytes(b"\x00" * 100)
+    (tmp_path / "f.warc").write_bytes(record("last", b"plain", kind="text/plain"))
+    back = warc.read_warc(spark, str(tmp_path), partitionBytes="1000000")
+    got = Counter((r.record_id, bytes(r.payload) if r.payload is not None else None, r.damage) for r in back.collect())
+    assert got == Counter([
+        ("whole", b"one", None),
+        ("bare", b"not a message\r\n\r\nWARC/1.1", "no HTTP message"),
+        ("nolength", None, "no length"),
+        ("later", b"three", None),
+        ("cut", b"fo", "cut off"),
+        ("short", b"fi", None),
+        (None, None, "no record starts here"),
+        ("next", b"six", None),
+        ("endless", b"", None),
+        ("packed", b"seven", None),
+        (None, None, "broken compression"),
+        (None, None, "no record starts here"),
+        ("last", b"plain", None),
+    ])
+    lengths = {(r.record_id, r.damage) for r in warc.read_warc(spark, str(tmp_path), payload="false").where("record_type = 'response'").collect()}
+    assert ("cut", "cut off") in lengths and ("later", None) in lengths and not any(name is None for name, _ in lengths)
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "u1", "same é"), (2, "u2", "same é"), (3, None, None), (4, "a\r\nb", ""), (5, "u5", "x\r\n\r\nWARC/1.1\r\n" * 3), (2, "u2", "same é"), (None, "n", "other")]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id bigint, url string, html string, payload int")
