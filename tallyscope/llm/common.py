@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.session import checkpoint_root
+
 PACKAGE = __name__.split(".")[0]
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _READY: set[str] = set()
@@ -64,11 +66,17 @@ def ready(spark: SparkSession) -> None:
     found.__module__ = "__main__"  # this one function travels by value
     if not spark.range(1).mapInArrow(found, "found boolean").first()[0]:
         root = Path(__file__).resolve().parents[1]
+        # Executors that start later fetch it too, so it stays in the shared folder.
+        shared = f"{checkpoint_root(spark)}/code/{package}.zip"
         with tempfile.TemporaryDirectory() as folder:
             with zipfile.ZipFile(f"{folder}/{package}.zip", "w") as z:
                 for f in root.rglob("*.py"):
                     z.write(f, f.relative_to(root.parent))
-            context.addPyFile(f"{folder}/{package}.zip")
+            path = context._jvm.org.apache.hadoop.fs.Path
+            target = path(shared)
+            store = target.getFileSystem(context._jsc.hadoopConfiguration())
+            store.copyFromLocalFile(False, True, path(f"file://{folder}/{package}.zip"), target)
+        context.addPyFile(shared)
     _READY.add(context.applicationId)
 
 
