@@ -17,8 +17,8 @@ from tallyscope.sources.views import Views
 
 DIMS = 64
 ID = "vec_id"
-# Twelve vector components serve as a feature matrix.
-COLUMNS = [f"e{i}" for i in range(12)]
+# The vector components serve as a feature matrix.
+COLUMNS = [f"e{i}" for i in range(DIMS)]
 
 
 def wide(v: Views) -> DataFrame:

@@ -16,8 +16,8 @@ VIEWS["preds"] = (
     "",
     """SELECT vec_id, label, c, p1 / sum(p1) OVER (PARTITION BY vec_id) AS p1, p2 / sum(p2) OVER (PARTITION BY vec_id) AS p2
     FROM (SELECT vec_id, label % 5 AS label, c,
-        abs(CAST(embedding[c + 1] AS DOUBLE)) + CASE WHEN c = label % 5 THEN 0.08 ELSE 0 END AS p1,
-        abs(CAST(embedding[c + 6] AS DOUBLE)) + CASE WHEN c = label % 5 THEN 0.08 ELSE 0 END AS p2
+        list_max([abs(CAST(embedding[k] AS DOUBLE)) FOR k IN range(c + 1, len(embedding) + 1, 10)]) + CASE WHEN c = label % 5 THEN 0.08 ELSE 0 END AS p1,
+        list_max([abs(CAST(embedding[k] AS DOUBLE)) FOR k IN range(c + 6, len(embedding) + 1, 10)]) + CASE WHEN c = label % 5 THEN 0.08 ELSE 0 END AS p2
         FROM embeddings, range(5) g(c))""",
 )
 NAMES = ["airdrop_hunter", "defi_farmer", "hodler", "mev_bot", "retail_trader"]
